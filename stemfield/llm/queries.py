@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import merkle, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op10_fingerprints": merkle.op10_fingerprints,
 }
 
 SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op10_fingerprints": merkle.OP10_SQL,
 }
