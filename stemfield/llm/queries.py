@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import merkle, warc
+from . import knn, merkle, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_knn": knn.op3_knn,
     "op10_fingerprints": merkle.op10_fingerprints,
 }
 
 SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op3_knn": knn.OP3_SQL,
     "op10_fingerprints": merkle.OP10_SQL,
 }
