@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import knn, merkle, warc
+from . import knn, merkle, mixing, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_knn": knn.op3_knn,
+    "op7_mixing": mixing.op7_mixing,
     "op10_fingerprints": merkle.op10_fingerprints,
 }
 
