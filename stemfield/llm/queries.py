@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import knn, merkle, mixing, warc
+from . import knn, merkle, mixing, substring, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_knn": knn.op3_knn,
+    "op5_substring": substring.op5_substring,
     "op7_mixing": mixing.op7_mixing,
     "op10_fingerprints": merkle.op10_fingerprints,
 }
@@ -14,5 +15,6 @@ QUERIES = {
 SQL = {
     "op2_warc": warc.OP2_SQL,
     "op3_knn": knn.OP3_SQL,
+    "op5_substring": substring.OP5_SQL,
     "op10_fingerprints": merkle.OP10_SQL,
 }
