@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import knn, merkle, mixing, substring, warc
+from . import bpe, knn, merkle, mixing, substring, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_knn": knn.op3_knn,
     "op5_substring": substring.op5_substring,
+    "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op10_fingerprints": merkle.op10_fingerprints,
 }
