@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, merkle, mixing, substring, warc
+from . import bpe, jaccard, knn, merkle, mixing, substring, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_substring": substring.op5_substring,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_fingerprints": merkle.op10_fingerprints,
 }
 
