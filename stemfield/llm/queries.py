@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, knn, merkle, mixing, substring, warc
+from . import bpe, jaccard, knn, merkle, mixing, substring, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_warc": warc.op2_warc,
     "op3_knn": knn.op3_knn,
     "op5_substring": substring.op5_substring,
