@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, knn, merkle, mixing, substring, toxicity, warc
+from . import bpe, jaccard, knn, langid, merkle, mixing, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_warc": warc.op2_warc,
     "op3_knn": knn.op3_knn,
+    "op4_langid": langid.op4_langid,
     "op5_substring": substring.op5_substring,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
