@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, knn, langid, merkle, mixing, substring, toxicity, warc
+from . import bpe, jaccard, knn, langid, lattice, merkle, mixing, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring": substring.op5_substring,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op8_lattice": lattice.op8_lattice,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_fingerprints": merkle.op10_fingerprints,
 }
