@@ -52,3 +52,17 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each context, so that they can import it from anywhere."""
+    import shutil
+    from pathlib import Path
+
+    key = f"stemfield.shipped.{spark.sparkContext.applicationId}"
+    system = spark.sparkContext._jvm.System
+    if not system.getProperty(key):
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='stemfield-')}/stemfield", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        system.setProperty(key, "true")
