@@ -9,7 +9,10 @@ less a discount, and the discounted mass goes to the lattice:
 
     p(w) = max(c(w) - D, 0) / N + D V / N * lattice(w),  D = n1 / (n1 + 2 n2)
 
-with counts, N, V, n1 and n2 over all training tokens, an end token for each text among them. Sums over all words give 1.
+with counts, N, V, n1 and n2 over all training tokens, an end token for each text among them. The training texts of a language k
+(the ``MOST_CLASSES`` commonest, all others together) have such a distribution too, ``max(c_k(w) - D, 0) / N_k + D V_k / N_k * p(w)``, and
+the probability of a text is the sum over k of the share of k times the product over its tokens. Sums over all words give 1. No
+text's own language is used to score it.
 
 Plan. Texts are packed in rows of about 4 MB. Each row asks for its distinct words, in compressed lists by word bucket; a bucket merges
 the lists of all rows, so each distinct word is solved once, and answers each list in its order; a row meets its answers and is scored.
@@ -22,6 +25,7 @@ training text the lattice alone scores words and the end is certain. Repeated ro
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,7 @@ from ..session import persist_table
 from .common import _LOWER, batches, held_out, pack, table, unpack
 
 MARK = "▁"
+MOST_CLASSES = 16
 _ZIPF = 2.7
 
 
@@ -147,7 +152,7 @@ def load(path: str) -> Vocabulary:
 
 
 def packed(docs: DataFrame, most: int = 4 << 20) -> DataFrame:
-    """Rows of about ``most`` bytes: ``split, n_train, size, blob`` with ids, folds and the lower-cased words of the texts."""
+    """Rows of about ``most`` bytes: ``split, size, blob`` with ids, classes (-1: not learned from) and the lower-cased words of the texts."""
 
     def run(rows):
         task, number = TaskContext.get().partitionId(), 0
@@ -155,109 +160,132 @@ def packed(docs: DataFrame, most: int = 4 << 20) -> DataFrame:
             texts = [b" ".join(_LOWER[np.frombuffer(t, np.uint8)].tobytes().split()) if t else b"" for t in held["text"]]
             ids = np.array([0 if i is None else i for i in held["doc_id"]], np.int64)
             null = np.array([i is None for i in held["doc_id"]], np.uint8)
-            out = np.array(held["held_out"], np.uint8)
+            out = np.array([-1 if h else c for h, c in zip(held["held_out"], held["class"], strict=True)], np.int8)
             buf = b"\n".join(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), pa.array([int((out == 0).sum())], pa.int64()), pa.array([len(buf)], pa.int64()), pa.array([pack({}, buf, ids, null, out, level=3)], pa.binary())], ["split", "n_train", "size", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), pa.array([len(buf)], pa.int64()), pa.array([pack({}, buf, ids, null, out, level=3)], pa.binary())], ["split", "size", "blob"])
             number += 1
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "split long, n_train long, size long, blob binary")
+    return docs.select("doc_id", "text", "held_out", "class").mapInArrow(run, "split long, size long, blob binary")
 
 
-def lists(buf: bytes, out: np.ndarray, buckets: int) -> tuple[dict[int, list[bytes]], dict[bytes, int]]:
-    """The distinct words of a packed row by bucket, in a fixed order, and their counts in its training texts."""
-    counts: dict[bytes, int] = {}
-    for text, held in zip(buf.split(b"\n"), out.tolist(), strict=True):
-        if held:
-            for w in text.split():
-                counts.setdefault(w, 0)
+def lists(buf: bytes, out: np.ndarray, buckets: int, classes: int = 0) -> tuple[dict[int, list[bytes]], list[Counter]]:
+    """The distinct words of a packed row by bucket, in a fixed order, and their counts in its training texts of each class."""
+    words: list[list[bytes]] = [[] for _ in range(classes)]
+    distinct: set[bytes] = set()
+    for text, k in zip(buf.split(b"\n"), out.tolist(), strict=True):
+        if 0 <= k < classes:
+            words[k] += text.split()
         else:
-            for w in text.split():
-                counts[w] = counts.get(w, 0) + 1
+            distinct.update(text.split())
+    counts = [Counter(w) for w in words]
+    distinct.update(*counts)
     by: dict[int, list[bytes]] = {}
-    for w in sorted(counts):
+    for w in sorted(distinct):
         by.setdefault(zlib.crc32(w) % buckets, []).append(w)
     return by, counts
 
 
-def requests(rows: DataFrame, buckets: int) -> DataFrame:
+def requests(rows: DataFrame, buckets: int, classes: int) -> DataFrame:
     def run(it):
         for batch in it:
             for split, blob in zip(batch.column("split").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 _, (buf, _, _, out) = unpack(blob)
-                by, counts = lists(buf, np.frombuffer(out, np.uint8), buckets)
-                got = [(b, pack({}, b" ".join(ws), np.array([counts[w] for w in ws], np.int32))) for b, ws in by.items()]
+                by, counts = lists(buf, np.frombuffer(out, np.int8), buckets, classes)
+                got = [(b, pack({}, b" ".join(ws), np.array([[c[w] for w in ws] for c in counts], np.int32))) for b, ws in by.items()]
                 for a in range(0, len(got), 64):
                     yield pa.RecordBatch.from_arrays([pa.array([split] * len(got[a : a + 64]), pa.int64()), pa.array([b for b, _ in got[a : a + 64]], pa.int64()), pa.array([x for _, x in got[a : a + 64]], pa.binary())], ["split", "bucket", "blob"])
 
     return rows.select("split", "blob").mapInArrow(run, "split long, bucket long, blob binary")
 
 
-def merged(frame: pd.DataFrame) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """The distinct words of a bucket, their training counts, and each request as numbers of words."""
+def merged(frame: pd.DataFrame, classes: int) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """The distinct words of a bucket, their training counts in each class, and each request as numbers of words."""
     number: dict[bytes, int] = {}
     asked, counted = [], []
     for blob in frame["blob"]:
         _, (words, counts) = unpack(blob)
         asked.append(np.array([number.setdefault(w, len(number)) for w in words.split(b" ")], np.int64))
-        counted.append(np.frombuffer(counts, np.int32))
-    total = np.bincount(np.concatenate(asked), np.concatenate(counted).astype(np.float64), len(number)).astype(np.int64)
-    return list(number), total, asked
+        counted.append(np.frombuffer(counts, np.int32).reshape(classes, -1))
+    at, counted = np.concatenate(asked), np.concatenate(counted, 1)
+    return list(number), np.array([np.bincount(at, c, len(number)) for c in counted]).astype(np.int64), asked
 
 
 class Trained:
-    """What is learned: token and type counts, the discount, and the log-probabilities of the pieces."""
-
-    def __init__(self, tokens: int, types: int, texts: int, discount: float, log_p: np.ndarray):
-        self.tokens, self.types, self.texts, self.discount, self.log_p = tokens, types, texts, discount, log_p
-
-    def log10_words(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        if not self.tokens:
-            return lattice / np.log(10)
+    """What is learned: of all and of each class the tokens, types and texts; the discount; the log-probabilities of the pieces."""
+
+    def __init__(self, tokens: np.ndarray, types: np.ndarray, texts: np.ndarray, all_types: int, discount: float, log_p: np.ndarray):
+        self.tokens, self.types, self.texts, self.all_types, self.discount, self.log_p = tokens, types, texts, all_types, discount, log_p
+        self.all_tokens, self.all_texts = int(tokens.sum()), int(texts.sum())
+
+    def log_words(self, counts: np.ndarray, lattice: np.ndarray | float) -> np.ndarray:
+        """Natural logarithms, ``(classes, words)``, from the counts in each class and the logarithms of the lattice."""
+        if not self.all_tokens:
+            return np.broadcast_to(lattice, counts.shape)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = lambda c, n: np.log(np.maximum(c - self.discount, 0) / n)
+            every = np.logaddexp(rest(counts.sum(0), self.all_tokens), np.log(self.discount * self.all_types / self.all_tokens) + lattice)
+            n = np.maximum(self.tokens, 1)[:, None]
+            own = np.logaddexp(rest(counts, n), np.log(self.discount * self.types[:, None] / n) + every)
+            return np.where(self.tokens[:, None] > 0, own, -np.inf)
+
+    def log_end(self) -> np.ndarray:
+        return self.log_words(self.texts[:, None], -np.inf)[:, 0] if self.all_tokens else np.zeros(len(self.texts))
+
+    def log_share(self) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            seen = np.log(np.maximum(counts - self.discount, 0) / self.tokens)
-            return np.logaddexp(seen, np.log(self.discount * self.types / self.tokens) + lattice) / np.log(10)
+            return np.log(self.texts / self.all_texts) if self.all_texts else np.log(np.full(len(self.texts), 1 / len(self.texts)))
 
-    def log10_end(self) -> float:
-        return float(np.log10((self.texts - self.discount) / self.tokens)) if self.texts else 0.0
 
+def train(asked: DataFrame, texts: np.ndarray, path: str) -> Trained:
+    """``texts``: the number of training texts in each class."""
+    classes = len(texts)
 
-def train(asked: DataFrame, texts: int, path: str) -> Trained:
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         vocab = load(path)
-        words, counts, _ = merged(frame)
+        words, by_class, _ = merged(frame, classes)
+        counts = by_class.sum(0)
         expected = np.zeros(len(vocab.pieces))
         with np.errstate(divide="ignore"):
             solve([w for w, c in zip(words, counts.tolist(), strict=True) if c], vocab, np.log(vocab.prior), expected)
         at = np.flatnonzero(expected)
-        stats = {-1: counts.sum(), -2: (counts > 0).sum(), -3: (counts == 1).sum(), -4: (counts == 2).sum()}
+        stats = {-1: (counts > 0).sum(), -2: (counts == 1).sum(), -3: (counts == 2).sum()}
+        stats |= {-10 - 2 * k: c.sum() for k, c in enumerate(by_class)} | {-11 - 2 * k: (c > 0).sum() for k, c in enumerate(by_class)}
         return pd.DataFrame({"piece": [*stats, *at.tolist()], "n": [*map(float, stats.values()), *expected[at].tolist()]})
 
     sums = {r["piece"]: r["n"] for r in asked.groupBy("bucket").applyInPandas(gather, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    words, types, once, twice = (int(sums.pop(k, 0)) for k in (-1, -2, -3, -4))
+    types, once, twice = (int(sums.pop(k, 0)) for k in (-1, -2, -3))
+    tokens = np.array([int(sums.pop(-10 - 2 * k, 0)) for k in range(classes)]) + texts
+    own = np.array([int(sums.pop(-11 - 2 * k, 0)) for k in range(classes)]) + (texts > 0)
     vocab = load(path)
     expected = np.zeros(len(vocab.pieces))
     expected[list(sums)] = list(sums.values())
     extra = 1 + 0.01 * expected.sum()
     p = (expected + extra * vocab.prior) / (expected.sum() + extra)
-    once, types = once + (texts == 1), types + (texts > 0)
-    discount = once / (once + 2 * (twice + (texts == 2))) if once and twice else 0.5
+    ends = int(texts.sum())
+    once, twice = once + (ends == 1), twice + (ends == 2)
     with np.errstate(divide="ignore"):
-        return Trained(words + texts, types, texts, discount, np.log(p))
+        return Trained(tokens, own, texts, types + (ends > 0), once / (once + 2 * twice) if once and twice else 0.5, np.log(p))
 
 
 def scored(docs: DataFrame, path: str, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` has doc_id, text and held_out (not learned from); see the module for the result's meaning."""
-    rows = persist_table(packed(docs), "lm-packed")
-    size = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()
+    """``docs`` has doc_id, text, lang and held_out (not learned from); see the module for the result's meaning."""
+    found = docs.where("not held_out").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()
+    names = [r["lang"] for r in found if r["lang"] is not None]
+    number = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")), F.lit(0)) if names else F.lit(0)
+    classed = docs.withColumn("class", number.cast("int"))
+    in_class = {r["class"]: r["n"] for r in classed.where("not held_out").groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_class = np.array([in_class.get(k, 0) for k in range(len(names) + 1)])
+    rows = persist_table(packed(classed), "lm-packed")
+    size = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
     buckets = max(1, -(-size["s"] // bucket_bytes))
-    asked = persist_table(requests(rows, buckets), "lm-requests")
-    model = train(asked, size["n"], path)
+    asked = persist_table(requests(rows, buckets, len(per_class)), "lm-requests")
+    model = train(asked, per_class, path)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        words, counts, wanted = merged(frame)
-        value = shared.value.log10_words(counts, solve(words, load(path), shared.value.log_p))
-        return pd.DataFrame({"split": frame["split"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "answer": [pack({}, counts[w], value[w]) for w in wanted]})
+        words, counts, wanted = merged(frame, len(per_class))
+        value = solve(words, load(path), shared.value.log_p)
+        return pd.DataFrame({"split": frame["split"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "answer": [pack({}, counts[:, w].astype(np.int64), value[w]) for w in wanted]})
 
     answers = asked.groupBy("bucket").applyInPandas(answer, "split long, bucket long, answer binary")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -268,23 +296,27 @@ def scored(docs: DataFrame, path: str, bucket_bytes: int = 16 << 20) -> DataFram
         frames = []
         for blob in left["blob"]:
             _, (buf, ids, null, out) = unpack(blob)
-            out = np.frombuffer(out, np.uint8)
+            out = np.frombuffer(out, np.int8)
             by, _ = lists(buf, out, buckets)
-            number, count, value = {}, [], []
+            number, count, value = {}, [np.zeros((len(per_class), 0))], [np.zeros(0)]
             for b, ws in by.items():
                 number |= zip(ws, range(len(number), len(number) + len(ws)), strict=True)
                 _, (c, v) = unpack(answer_of[b])
-                count.append(np.frombuffer(c, np.int64))
+                count.append(np.frombuffer(c, np.int64).reshape(len(per_class), -1))
                 value.append(np.frombuffer(v, np.float64))
-            count, value = (np.concatenate(x) if x else np.zeros(0) for x in (count, value))
-            level = np.log10(model.tokens + model.types + 1)
+            counts = np.concatenate(count, 1)
+            log_p = np.ascontiguousarray(model.log_words(counts, np.concatenate(value)).T)
+            count = counts.sum(0)
+            level = np.log10(model.all_tokens + model.all_types + 1)
             base = np.log10(count + 1) - level
+            start = model.log_share() + model.log_end()
             texts = buf.split(b"\n")
             n, known, low, high = (np.zeros(len(texts)) for _ in range(4))
             for i, t in enumerate(texts):
                 at = np.fromiter(map(number.__getitem__, t.split()), np.int64)
-                n[i], known[i], low[i], high[i] = len(at), (count[at] > 0).sum(), base[at].sum(), value[at].sum()
-            frame = pd.DataFrame({"doc_id": pd.array(np.frombuffer(ids, np.int64), "Int64"), "held_out": out == 1, "n_tokens": n + 1, "n_known": known + (model.texts > 0), "train_tokens": model.tokens, "base_score": low + np.log10(model.texts + 1) - level, "score": high + model.log10_end()})
+                n[i], known[i], low[i] = len(at), (count[at] > 0).sum(), base[at].sum()
+                high[i] = np.logaddexp.reduce(start + log_p[at].sum(0)) / np.log(10)
+            frame = pd.DataFrame({"doc_id": pd.array(np.frombuffer(ids, np.int64), "Int64"), "held_out": out < 0, "n_tokens": n + 1, "n_known": known + (model.all_texts > 0), "train_tokens": model.all_tokens, "base_score": low + np.log10(model.all_texts + 1) - level, "score": high})
             frame.loc[np.frombuffer(null, np.uint8) == 1, "doc_id"] = pd.NA
             frames.append(frame.astype({"n_tokens": "int64", "n_known": "int64"}))
         return pd.concat(frames) if frames else pd.DataFrame({c.split()[0]: [] for c in result.split(", ")})
@@ -299,5 +331,5 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 7, 2).alias("held_out"))
     return scored(docs, vocabulary())
