@@ -111,7 +111,7 @@ def proto_nodes(points: DataFrame, slices: DataFrame, max_distance: float, min_s
 
 def quotient_graph(points: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collapse points to their labels: ``label, x, y, z, n`` (centroids) and ``la < lb, vx, vy, vz`` (median edge vector from la to lb, by component)."""
-    own = points.join(labels.where("label > 0").select("pid", "label"), "pid")
+    own = points.select("pid", "x", "y", "z").join(labels.where("label > 0").select("pid", "label"), "pid")
     nodes = own.groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"))
     end = lambda s: own.select(F.col("pid").alias(s), F.col("label").alias(f"l{s}"), *[F.col(c).alias(f"{c}{s}") for c in "xyz"])
     crossing = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").where("lsrc <> ldst")
