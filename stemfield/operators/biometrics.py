@@ -74,6 +74,7 @@ def merge_receivers(nodes: DataFrame, touching: DataFrame, volumes: DataFrame, t
     return best.select("donor", "b.receiver", "b.frac")
 
 
-def merge_reason(overlap, completeness, points, threshold: float = 0.2, gate: float = 0.25, least: int = 20):
-    """Why a node may move, as an expression: its gates are tried in order; the overlap must exceed its threshold."""
-    return F.when(completeness < gate, "completeness").when(points < least, "points").when(overlap > threshold, "move").otherwise("overlap")
+def merge_reason(overlap, node_complete, focal_complete, focal_points, threshold: float = 0.2, gate: float = 0.25, least: int = 20):
+    """Why a node may not move to a focal branch, or ``ok``, as an expression; the gates are tried in order and the overlap must exceed its threshold."""
+    low = F.when(~(overlap > threshold), "below_overlap_threshold").when(~(node_complete >= gate), "node_completeness_gate")
+    return low.when(~(focal_complete >= gate), "focal_completeness_gate").when(~(focal_points >= least), "min_points_gate").otherwise("ok")
