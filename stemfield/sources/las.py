@@ -264,7 +264,7 @@ def write_las(points: DataFrame, path: str) -> None:
     """One LAS file. Offsets are the minima; the scale is 1e-6, or as much coarser as the extent needs."""
     if path.lower().endswith(".laz"):
         raise ImportError("compressed LAS (LAZ) needs an encoder that is not installed")
-    box = points.agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    box = points.agg(*[f(F.col(c).cast("double")).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
     if box["xlo"] is None:
         raise ValueError("an empty point cloud can't be written")
     scales = [max(1e-6, 10 ** math.ceil(math.log10(max((box[f"{c}hi"] - box[f"{c}lo"]) / (2**31 - 2), 1e-300)))) for c in "xyz"]
