@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import load_config
 from ..operators import biometrics as bio
 from ..operators import filters as flt
 from ..operators import geometry as geo
@@ -18,6 +19,9 @@ from ..operators import graph as gr
 from ..operators import labels as lab
 from ..operators import neighbours as nb
 from ..operators import points as pts
+from ..operators import trees, unroll
+from ..session import new_path
+from ..sources import files
 
 R = 0.08
 QUERIES: dict = {}
@@ -464,3 +468,90 @@ def _(s, d):
     e = nb.radius_edges(emb(s, d), R, weights=False).select(F.col("src").alias("na"), F.col("dst").alias("nb"))
     v = p.groupBy("nbs_id").agg(F.count(F.lit(1)).alias("volume"))
     return rounded(bio.merge_receivers(p, e, v, 0.2))
+
+
+_UNROLL = f"{EVT_SQL}, un AS (SELECT pid, floor(z * 2)::BIGINT AS slice, sqrt((x - 5) * (x - 5) + (y - 5) * (y - 5)) AS rho, atan2(y - 5, x - 5) AS phi FROM evt)"
+
+
+def _unrolled(s, d) -> DataFrame:
+    return unroll.unrolled(evt(s, d).withColumns({"slice": F.floor(F.col("z") * 2), "u": F.col("x") - 5, "v": F.col("y") - 5}))
+
+
+@query("unroll_points", f"WITH {_UNROLL} SELECT pid, {ro('rho', 'phi')} FROM un")
+def _(s, d):
+    return rounded(_unrolled(s, d).select("pid", "rho", "phi"))
+
+
+@query("rho_surface", f"WITH {_UNROLL} SELECT slice, least(greatest(floor((phi + pi()) / (2 * pi() / 36)) + 1, 1), 36)::INT AS bin, {ro('avg(rho) AS rho')} FROM un GROUP BY 1, 2")
+def _(s, d):
+    return rounded(unroll.rho_surface(_unrolled(s, d), 36))
+
+
+@query("rho_filter", f"WITH {_UNROLL}, q AS (SELECT slice, quantile_cont(rho, 0.9) AS cap FROM un GROUP BY slice) SELECT pid FROM un JOIN q USING (slice) WHERE rho <= cap")
+def _(s, d):
+    return unroll.rho_filter(_unrolled(s, d), 0.9).select("pid")
+
+
+@query("moving_centreline", f"WITH {EMB_SQL} SELECT pid, {ro('avg(x) OVER w AS x', 'avg(y) OVER w AS y', 'avg(z) OVER w AS z')} FROM emb WINDOW w AS (PARTITION BY label ORDER BY pid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def _(s, d):
+    return rounded(unroll.moving_centres(emb(s, d), "label", "pid").select("pid", "x", "y", "z"))
+
+
+@query("las_round_trip", f"WITH {EVT_SQL} SELECT pid, {ro('x', 'y', places=4)}, (pid % 100)::INT AS intensity, pid * 3 AS tag FROM evt")
+def _(s, d):
+    path = f"{new_path(s, 'las')}.las"
+    files.write_pc(evt(s, d).withColumns({"intensity": (F.col("pid") % 100).cast("int"), "tag": F.col("pid") * 3, "row": F.col("pid")}), path)
+    return rounded(files.read_pc(s, path).select(F.col("row").alias("pid"), "x", "y", "intensity", "tag"), 4)
+
+
+@query("las_limits", f"WITH {EVT_SQL} SELECT pid FROM evt WHERE x > 30 AND y < 2")
+def _(s, d):
+    path = f"{new_path(s, 'las')}.las"
+    files.write_pc(evt(s, d).withColumn("row", F.col("pid")), path)
+    return files.read_pc(s, path).where("x > 30.00001 and y < 1.99999").select(F.col("row").alias("pid"))
+
+
+@query("las_metadata", f"WITH {EVT_SQL} SELECT count(*) AS point_count, {ro('min(x) AS xmin', 'max(y) AS ymax', places=4)} FROM evt")
+def _(s, d):
+    path = f"{new_path(s, 'las')}.las"
+    files.write_pc(evt(s, d), path)
+    return rounded(files.read_pc_metadata(s, path).select("point_count", F.element_at("bounds_min", 1).alias("xmin"), F.element_at("bounds_max", 2).alias("ymax")), 4)
+
+
+@query("merge_reason", f"WITH {NODE_SQL} SELECT node_id, CASE WHEN NOT radius * 2 > 0.2 THEN 'below_overlap_threshold' WHEN NOT agh / 50 >= 0.25 THEN 'node_completeness_gate' WHEN NOT 0.5 >= 0.25 THEN 'focal_completeness_gate' WHEN NOT n_points * 15 >= 20 THEN 'min_points_gate' ELSE 'ok' END AS reason FROM node")
+def _(s, d):
+    return node(s, d).select("node_id", bio.merge_reason(F.col("radius") * 2, F.col("agh") / 50, F.lit(0.5), F.col("n_points") * 15).alias("reason"))
+
+
+FOREST = load_config(text="[pipeline]\nsubsample_res = 0.04\n[tree]\nnearground_agh_threshold = 0.2\n[tree.model]\nnbs_linearity_threshold = 0.1\ncompleteness_threshold = 0.05\n")
+
+
+def _forest(s, d) -> DataFrame:
+    """P_emb with heights, as a cloud of stems."""
+    return emb(s, d).withColumn("AGH", F.col("z") + 0.5)
+
+
+@query("label_segments")
+def _(s, d):
+    return trees.label_segments(trees.with_components(_forest(s, d), R), FOREST).select("pid", "nbs_id", "node_id")
+
+
+@query("model_segments")
+def _(s, d):
+    return rounded(trees.model_segments(_forest(s, d), FOREST, "label")[0])
+
+
+@query("surface_cloud")
+def _(s, d):
+    return rounded(trees.model_segments(_forest(s, d), FOREST, "label", True)[2])
+
+
+@query("tree_segmentation")
+def _(s, d):
+    return trees.tree_segmentation(_forest(s, d), FOREST)[0].select("pid", "tree_id", "tree_nbs_id")
+
+
+@query("occluded_branches")
+def _(s, d):
+    p = _forest(s, d).withColumns({"tree_id": F.when(F.col("label") < 3, F.col("label") + 1).otherwise(0).cast("long"), "tree_nbs_id": (F.col("label") + 1).cast("long")})
+    return trees.occluded_branches(p, FOREST).select("pid", "tree_id")
