@@ -97,10 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
 
 
 class Mix:
-    """A fitted mix: the classifier, the targets in tokens and the gradient of each iteration."""
+    """A fitted mix: the classifier, the targets in tokens, the gradient of each iteration, and the table of tokens and posteriors (``doc_id, n_tokens, posterior``)."""
 
-    def __init__(self, classifier: Classifier, tokens: float, current: list[float], targets: list[float], steps: list[list[float]], residual: float):
-        self.classifier, self.tokens, self.current, self.targets, self.steps, self.residual = classifier, tokens, current, targets, steps, residual
+    def __init__(self, classifier: Classifier, tokens: float, current: list[float], targets: list[float], steps: list[list[float]], residual: float, documents: DataFrame):
+        self.classifier, self.tokens, self.current, self.targets, self.steps, self.residual, self.documents = classifier, tokens, current, targets, steps, residual, documents
 
     def rate(self, posterior: Column) -> Column:
         return fold(F.lit(1.0), self.steps, posterior)
@@ -119,7 +119,8 @@ def fit_mix(docs: DataFrame, labels: DataFrame, goal, iterations: int = 60, tole
     """``goal(domains, shares) -> list`` gives the target tokens of each domain as shares of all present tokens."""
     model = fit(docs, labels, train_rows=train_rows)
     k = len(model.domains)
-    narrow = persist_table(model.classified(measured(docs.select("text")), "p").select("_tokens", "p", F.lit(1.0).alias("r")), "mix-docs")
+    base = persist_table(model.classified(measured(docs.select("doc_id", "text"))).select("doc_id", F.col("_tokens").alias("n_tokens"), "posterior"), "mix-docs")
+    narrow = base.select(F.col("n_tokens").alias("_tokens"), F.col("posterior").alias("p"), F.lit(1.0).alias("r"))
     sums = lambda df: [F.coalesce(F.sum(F.col("_tokens") * F.col("r") * F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
     first = narrow.agg(F.coalesce(F.sum("_tokens"), F.lit(0)).alias("n"), *sums(narrow)).first()
     total = max(1.0, float(first["n"]))
@@ -139,14 +140,18 @@ def fit_mix(docs: DataFrame, labels: DataFrame, goal, iterations: int = 60, tole
             moved = narrow
         row = moved.agg(*sums(moved)).first()
         at = [row[f"s{j}"] / total for j in range(k)]
-    return Mix(model, total, [x * total for x in now], [t * total for t in tau], steps, left)
+    return Mix(model, total, [x * total for x in now], [t * total for t in tau], steps, left, base)
 
 
-def rated(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with ``n_tokens, domain, posterior, rate``."""
-    scored = mix.classifier.classified(measured(docs)).withColumn("n_tokens", F.col("_tokens"))
+def with_rates(rows: DataFrame, mix: Mix) -> DataFrame:
+    """``rows`` (posterior, ...) with ``domain``, the likeliest, and ``rate``."""
     names = F.array(*[F.lit(d) for d in mix.classifier.domains])
-    out = scored.withColumn("domain", names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]).withColumn("rate", mix.rate(F.col("posterior")))
+    return rows.withColumn("domain", names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]).withColumn("rate", mix.rate(F.col("posterior")))
+
+
+def rated(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``docs`` with ``n_tokens, domain, posterior, rate``, from their texts alone."""
+    out = with_rates(mix.classifier.classified(measured(docs)).withColumn("n_tokens", F.col("_tokens")), mix)
     return out.drop("_tokens", "_chars", "_bytes", "_sym", "_lines", "_distinct", "_text")
 
 
@@ -172,4 +177,4 @@ def smoothed(power: float = 0.5, poor: float = 0.25):
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     mix = fit_mix(docs, table(spark, sf_dir, "labels"), smoothed())
-    return rated(docs, mix).select("doc_id", "n_tokens", "domain", "posterior", "rate")
+    return with_rates(mix.documents, mix).select("doc_id", "n_tokens", "domain", "posterior", "rate")
