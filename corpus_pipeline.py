@@ -27,8 +27,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near duplicates; rows without an id stay."""
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = persist_table(groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
+    few = gone.count() <= jaccard.BROADCAST_IDS  # ids of bounded size spare the texts a shuffle
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
