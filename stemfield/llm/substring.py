@@ -115,13 +115,13 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def late_windows(docs: DataFrame, k: int, m: int = 3, group_bytes: int = 6 << 20) -> DataFrame:
-    """``doc, h, start, n``: runs of n windows from word ``start`` that occur earlier. ``docs`` has doc, h (hash of the text) and text."""
+    """``doc, h, start, n``: runs of n windows from word ``start`` that occur earlier. ``docs`` has doc, h (32 bits of the text's hash) and text."""
     _, size = total_bytes(docs)
     groups = max(1, -(-3 * size // group_bytes))
 
     def cut(rows):
         schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-        for held in batches(rows, most=4 << 20):
+        for held in batches(rows, most=6 << 20):
             texts = [b" ".join(t.split()) if t else b"" for t in held["text"]]
             words, text, at, n, least = super_kmers(texts, k, m)
             if not len(at):
@@ -137,7 +137,7 @@ def late_windows(docs: DataFrame, k: int, m: int = 3, group_bytes: int = 6 << 20
                 rows_in = order[lo : edges[i + 1] if i + 1 < len(edges) else len(order)]
                 number: dict[bytes, int] = {}
                 which = np.array([number.setdefault(words.buf[a[j] : b[j]], len(number)) for j in rows_in.tolist()], np.int32)
-                blob = pack({}, b"\n".join(number), which, docs_of[text[rows_in]], h_of[text[rows_in]], start[rows_in].astype(np.int32))
+                blob = pack({}, b"\n".join(number), which, docs_of[text[rows_in]], h_of[text[rows_in]].astype(np.uint32), start[rows_in].astype(np.int32), level=3)
                 out.append({"bucket": int(bucket[rows_in[0]]), "blob": blob})
                 waiting += len(blob)
                 if waiting > 1 << 20:
@@ -154,7 +154,7 @@ def late_windows(docs: DataFrame, k: int, m: int = 3, group_bytes: int = 6 << 20
             local = np.array([number.setdefault(x, len(number)) for x in strings.split(b"\n")], np.int64)
             which.append(local[np.frombuffer(w, np.int32)])
             doc.append(np.frombuffer(d, np.int64))
-            h.append(np.frombuffer(hh, np.int64))
+            h.append(np.frombuffer(hh, np.uint32).astype(np.int64))
             start.append(np.frombuffer(s, np.int32))
         which, doc, h, start = (np.concatenate(x) for x in (which, doc, h, start))
         order = np.lexsort((h, start, doc, which))
@@ -191,7 +191,7 @@ def covered(n_words: int, starts: list[int], counts: list[int], k: int) -> np.nd
 def without_repeats(docs: DataFrame, k: int = 20, keep_clean: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``kept`` (the words that stay, joined by one space; the text itself where nothing is
     removed and ``keep_clean``), ``n_words`` and ``n_removed``."""
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "h": F.xxhash64("text")})
+    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "h": F.xxhash64("text").bitwiseAND(0xFFFFFFFF)})
     found = late_windows(keyed, k).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_counts"))
     joined = keyed.join(found, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left").drop("_doc", "_h", "doc", "h")
     schema = joined.drop("_starts", "_counts").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
