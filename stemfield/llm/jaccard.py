@@ -36,6 +36,8 @@ from .substring import run_hashes
 
 FRAGMENTS = 4
 STAR_ROUNDS = 3
+#: Signatures with at most so many pairs a set are counted pair by pair at once, without further leaders.
+DENSE = 50
 #: Up to so many ids (8 bytes each) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _STEP = 1.5
@@ -93,15 +95,23 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
-def described(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, cid``: the size and the id of each row's set."""
+def filled(s: np.ndarray, percent: int) -> tuple[int, int, int]:
+    """Size class of a set and how many fragments it fills there and in the next class (0: it does not take part there)."""
+    classes = size_classes(len(s), percent) if len(s) else []
+    counts = [len(np.unique(((s >> np.uint64(32)) * np.uint64(fragment_count(lower(c + 1) - 1, percent)[1])) >> np.uint64(32))) for c in classes]
+    return (classes[0] if classes else 0), (counts[0] if counts else 0), (counts[1] if len(counts) > 1 else 0)
+
+
+def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, cid, band, own, above``: the size and the id of each row's set, its size class and the fragments it fills."""
 
     def run(rows):
         for held in batches(rows, most=4 << 20):
             sets = Sets(held["text"], k)
-            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64())], ["doc_id", "n_shingles", "cid"])
+            bands = [filled(s, percent) for s in sets.sets]
+            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64()), *[pa.array([b[i] for b in bands], pa.int32()) for i in range(3)]], ["doc_id", "n_shingles", "cid", "band", "own", "above"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, band int, own int, above int")
 
 
 def posting_stars(docs: DataFrame, k: int, percent: int, group_bytes: int = 4 << 20) -> DataFrame:
@@ -218,16 +228,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """``doc_id, n_shingles, component_id`` of each row; sets of k-word shingles link at Jaccard similarity ``percent`` / 100."""
     if percent * _STEP < 100:
         raise ValueError(f"percent must be at least {100 / _STEP:.0f}")
-    rows = persist_table(described(docs, k), "jaccard-docs")
+    rows = persist_table(described(docs, k, percent), "jaccard-docs")
     firsts = salted_min(rows.where("cid is not null and doc_id is not null").select("doc_id", "cid"), "cid", "doc_id")
     same = persist_table(firsts.select("doc_id", "cid", F.col("_first").alias("rep")).distinct(), "jaccard-same")
     classes = same.groupBy("cid").agg(F.min("rep").alias("rep"))
-    sizes = rows.where("cid is not null").groupBy(F.col("cid").alias("_c")).agg(F.max("n_shingles").alias("_n"))
+    sizes = rows.where("cid is not null").groupBy(F.col("cid").alias("_c")).agg(F.max(F.struct("n_shingles", "band", "own", "above")).alias("_s"))
     stars = persist_table(posting_stars(docs.where("doc_id is not null"), k, percent), "jaccard-stars")
     ends = stars.select(F.col("leader").alias("cid")).union(stars.select(F.col("member").alias("cid"))).distinct()
-    about = persist_table(ends.join(classes, "cid").join(sizes, F.col("cid") == F.col("_c")).select("cid", "rep", F.col("_n").alias("n")), "jaccard-ends")
+    about = persist_table(ends.join(classes, "cid").join(sizes, F.col("cid") == F.col("_c")).select("cid", "rep", F.col("_s.n_shingles").alias("n"), "_s.band", "_s.own", "_s.above"), "jaccard-ends")
     sets = persist_table(fetched(docs, about, k), "jaccard-sets")
 
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Of pairs with all signatures they share (a row each), those that share as many as a link needs: at the larger size class
+        a set keeps all its filled fragments but the differing shingles."""
+        shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        side = lambda c: about.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "own", "above")])
+        full = shared.join(side("a"), "a").join(side("b"), "b")
+        top = F.greatest("band_a", "band_b")
+        kept = F.greatest(*[F.when(F.col(f"band_{c}") == top, F.col(f"own_{c}")).otherwise(F.col(f"above_{c}")) for c in "ab"])
+        return full.where(F.col("shared") >= kept - F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs of sets whose sizes allow one."""
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -236,26 +256,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return persist_table(counted(fit, sets, percent), "jaccard-links")
 
     links = verified(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    found = persist_table(connected_components(links, "a", "b"), "jaccard-components")
     for turn in range(STAR_ROUNDS + 1):
-        found = persist_table(connected_components(links, "a", "b"), "jaccard-components")
-        comp = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: E731, B023
-        placed = stars.join(comp("leader"), "leader", "left").join(comp("member"), "member", "left").withColumns({f"{x}_in": F.coalesce(f"{x}_in", x) for x in ("leader", "member")})
-        open_sigs = placed.where("leader_in <> member_in").select("sig").distinct()
-        held = stars.join(open_sigs, "sig", "left_semi")
-        sets_of = held.select("sig", F.col("leader").alias("cid")).union(held.select("sig", F.col("member").alias("cid"))).distinct()
-        members = persist_table(sets_of.join(found.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("component")), "jaccard-open")
-        if members.isEmpty() or turn > STAR_ROUNDS:
+        members = persist_table(unsettled(stars, found), "jaccard-open")
+        size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("pairs")).first()
+        if not size["rows"]:
             break
-        if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
+        last = turn == STAR_ROUNDS or size["pairs"] <= DENSE * size["rows"]
+        if last:
+            other = members.select("sig", F.col("cid").alias("b"), F.col("component").alias("cb"))
+            pairs = promising(members.withColumnRenamed("cid", "a").join(other, "sig").where("a < b and component <> cb"))
+        else:
+            # the set that shares most signatures with others is the likeliest to be similar to many
+            sizes_of = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+            rank = members.join(sizes_of, "sig").groupBy(F.col("cid").alias("_cid")).agg(F.sum("m").alias("weight"))
+            members = members.join(rank, F.col("cid") == F.col("_cid")).drop("_cid")
+            order = F.struct(F.col("weight") * -1 if turn == 0 else F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
             lead = members.groupBy("sig").agg(F.min(order).alias("l")).select("sig", F.col("l.cid").alias("a"), F.col("l.component").alias("ca"))
             pairs = members.join(lead, "sig").where("component <> ca").select("a", F.col("cid").alias("b"))
-        else:
-            other = members.select("sig", F.col("cid").alias("b"), F.col("component").alias("cb"))
-            pairs = members.withColumnRenamed("cid", "a").join(other, "sig").where("a < b and component <> cb").select("a", "b")
         more = verified(pairs)
         if not more.isEmpty():
             links = persist_table(links.union(more).distinct(), "jaccard-links")
+            found = persist_table(connected_components(links, "a", "b"), "jaccard-components")
+        if last:
+            break
     of_class = found.select(F.col("node").alias("cid"), F.col("component").alias("_in"))
     edges = same.join(of_class, "cid", "left").select("doc_id", F.coalesce("_in", "cid").alias("group"))
     # a row's class stands for its component; rows of one doc_id join the components of their classes
@@ -270,6 +294,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def unsettled(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """``sig, cid, component`` of the signatures whose sets are not all in one component."""
+    comp = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    placed = stars.join(comp("leader"), "leader", "left").join(comp("member"), "member", "left").select("sig", "leader", "member", F.coalesce("leader_in", "leader").alias("leader_in"), F.coalesce("member_in", "member").alias("member_in"))
+    held = placed.join(placed.where("leader_in <> member_in").select("sig").distinct(), "sig", "left_semi")
+    return held.select("sig", F.col("leader").alias("cid"), F.col("leader_in").alias("component")).union(held.select("sig", F.col("member").alias("cid"), F.col("member_in").alias("component"))).distinct()
+
+
 def salted_group(edges: DataFrame, least: DataFrame, salts: int = 64) -> DataFrame:
     """``doc_id, least`` of each edge's group, with the rows of a large group spread over salts."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
