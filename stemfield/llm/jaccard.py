@@ -95,6 +95,11 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
+def named(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """The name by which a signature is known in all map batches: its low 32 bits and its bucket. Signatures of one name are tried as one."""
+    return (sig & np.uint64(0xFFFFFFFF)) | ((sig >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32))
+
+
 def filled(s: np.ndarray, percent: int) -> tuple[int, int, int]:
     """Size class of a set and how many fragments it fills there and in the next class (0: it does not take part there)."""
     classes = size_classes(len(s), percent) if len(s) else []
@@ -115,7 +120,7 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def posting_stars(docs: DataFrame, k: int, percent: int, group_bytes: int = 4 << 20) -> DataFrame:
-    """``sig, leader, member``: of each signature that several sets have, a tree over these sets.
+    """``sig, leader, member``: of each signature (by its name) that several sets have, a tree over these sets.
 
     A map task joins the sets it holds to one of them, and sends that one only; so a signature of very many sets brings
     its bucket no more than one entry a task.
@@ -155,7 +160,7 @@ def posting_stars(docs: DataFrame, k: int, percent: int, group_bytes: int = 4 <<
                 edges = np.flatnonzero(np.diff(where[by], prepend=-1))
                 for i, lo in enumerate(edges):
                     own = by[lo : edges[i + 1] if i + 1 < len(edges) else len(by)]
-                    blob = pack({"kind": kind}, s[own] if kind else s[own].astype(np.uint32), np.diff(c[own], prepend=0), m[own] if kind else b"")
+                    blob = pack({"kind": kind}, named(s[own], buckets) if kind else s[own].astype(np.uint32), np.diff(c[own], prepend=0), m[own] if kind else b"")
                     out.append({"bucket": int(where[own[0]]), "blob": blob})
                     waiting += len(blob)
                     if waiting > 1 << 20:

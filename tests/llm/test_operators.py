@@ -91,6 +91,89 @@ def test_jaccard_equals_brute_force(spark, corpus, k, percent):
     assert got == want and sum(c != i for i, (_, c) in want.items()) > 5
 
 
+def linked(texts, k, percent):
+    """Size and smallest linked id of each text by brute force; ids are positions."""
+    sets, parent = [], list(range(len(texts)))
+    for t in texts:
+        w = words(t, True)
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)})
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def behind_leaders(r, k, percent, n, tag, both_sides):
+    """Two map batches of texts of n shingles: the first has a leader and a text similar to it, the second a text similar to the
+    latter only, alone or behind its own leader. All signatures of that link are the leaders' too, so no first star tries it."""
+    while True:
+        tag += "x"
+        base = [f"{tag}{i}" for i in range(n + k - 1)]
+        p = len(base) // 2
+        edit = lambda w, at: [*w[:at], f"{tag}e{r.random()}", *w[at + 1 :]]  # noqa: E731, B023
+        ones = [edit(base, p) for _ in range(1500)]
+        other = edit(base, p + 1)
+        twos = [edit(other, p + 2) for _ in range(1500)] if both_sides else []
+        every = jaccard.Sets([" ".join(w).encode() for w in [base, other, *ones, *twos]], k)
+        ids, sigs = every.ids(), [set(jaccard.signatures(s, percent).tolist()) for s in every.sets]
+        link = sigs[0] & sigs[1]
+        ok = lambda i, cid: ids[i] < cid and link <= sigs[i]  # noqa: E731, B023
+        one = next((i for i in range(2, 1502) if ok(i, ids[0])), None)
+        two = next((i for i in range(1502, len(ids)) if ok(i, ids[1])), None)
+        if one and (two or not both_sides):
+            return [" ".join(ones[one - 2]), " ".join(base)], [" ".join(other)] + ([" ".join(twos[two - 1502])] if two else [])
+
+
+def in_batches(spark, groups):
+    """Rows of each group in one partition, hence one map batch."""
+    ids = iter(range(sum(map(len, groups))))
+    rows = [[(next(ids), t, "en", "s", len(t), "p", "k") for t in g] for g in groups]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)).flatMap(lambda x: x), SCHEMA)
+
+
+@pytest.mark.parametrize(("k", "percent", "n"), [(3, 90, 60), (5, 80, 46)])
+def test_jaccard_links_behind_leaders_of_other_batches(spark, k, percent, n):
+    r = random.Random(11)
+    groups = [[] for _ in range(6)]
+    for i in range(6):
+        first, second = behind_leaders(r, k, percent, n, f"t{i}", i % 2)
+        groups[i] += first
+        groups[(i + 1 + i // 2) % 6] += second
+    for f in range(8):  # near-threshold families, dealt over all batches
+        w = [f"f{f}w{i}" for i in range(n + k - 1)]
+        for i in range(24):
+            v = list(w)
+            for at in r.sample(range(10, 20), r.randint(1, 2)):
+                v[at] = f"f{f}e{r.randrange(3)}"
+            groups[(i + f) % 6].append(" ".join(v))
+    texts = [t for g in groups for t in g]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(in_batches(spark, groups), k, percent).collect()}
+    assert got == linked(texts, k, percent)
+
+
+def test_a_signature_has_one_star_over_all_batches(spark):
+    r = random.Random(5)
+    base = prose(r, 80).split()
+    groups = [[" ".join([*base[:at], f"e{g}", *base[at + 1 :]]) for at in r.sample(range(80), 12)] for g in range(4)]
+    every = jaccard.Sets([t.encode() for g in groups for t in g], 3)
+    holders, stars = defaultdict(set), defaultdict(set)
+    for cid, s in zip(every.ids(), every.sets, strict=True):
+        for sig in jaccard.signatures(s, 90).tolist():
+            holders[sig].add(cid)
+    for row in jaccard.posting_stars(in_batches(spark, groups), 3, 90).collect():
+        stars[row.sig] |= {row.leader, row.member}
+    assert sorted(map(sorted, stars.values())) == sorted(sorted(c) for c in holders.values() if len(c) > 1)
+
+
 def test_signatures_meet_whenever_sets_are_similar():
     r = np.random.default_rng(8)
     for n in (9, 12, 20, 60, 400):
