@@ -100,34 +100,40 @@ def named(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (sig & np.uint64(0xFFFFFFFF)) | ((sig >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32))
 
 
-def filled(s: np.ndarray, percent: int) -> tuple[int, int, int]:
-    """Size class of a set and how many fragments it fills there and in the next class (0: it does not take part there)."""
+def filled(s: np.ndarray, percent: int, buckets: int) -> tuple[int, int, int]:
+    """Size class of a set and how many fragments it fills there and in the next class (0: it does not take part there), less those
+    signatures of the set that have the name of another of its own, as they cannot be counted apart."""
     classes = size_classes(len(s), percent) if len(s) else []
     counts = [len(np.unique(((s >> np.uint64(32)) * np.uint64(fragment_count(lower(c + 1) - 1, percent)[1])) >> np.uint64(32))) for c in classes]
-    return (classes[0] if classes else 0), (counts[0] if counts else 0), (counts[1] if len(counts) > 1 else 0)
+    sig = np.unique(signatures(s, percent))
+    alike = len(sig) - len(np.unique(named(sig, buckets)))
+    own, above = (max(0, n - alike) for n in (*counts, 0, 0)[:2])
+    return (classes[0] if classes else 0), own, above
 
 
-def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def described(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """``doc_id, n_shingles, cid, band, own, above``: the size and the id of each row's set, its size class and the fragments it fills."""
 
     def run(rows):
         for held in batches(rows, most=4 << 20):
             sets = Sets(held["text"], k)
-            bands = [filled(s, percent) for s in sets.sets]
+            bands = [filled(s, percent, buckets) for s in sets.sets]
             yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64()), *[pa.array([b[i] for b in bands], pa.int32()) for i in range(3)]], ["doc_id", "n_shingles", "cid", "band", "own", "above"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, band int, own int, above int")
 
 
-def posting_stars(docs: DataFrame, k: int, percent: int, group_bytes: int = 4 << 20) -> DataFrame:
+def bucket_count(docs: DataFrame, group_bytes: int = 4 << 20) -> int:
+    _, size = total_bytes(docs)
+    return max(1, -(-size // (2 * group_bytes)))
+
+
+def posting_stars(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """``sig, leader, member``: of each signature (by its name) that several sets have, a tree over these sets.
 
     A map task joins the sets it holds to one of them, and sends that one only; so a signature of very many sets brings
     its bucket no more than one entry a task.
     """
-    _, size = total_bytes(docs)
-    buckets = max(1, -(-size // (2 * group_bytes)))
-
     def cut(rows):
         schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
         for held in batches(rows, most=16 << 20):
@@ -233,19 +239,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """``doc_id, n_shingles, component_id`` of each row; sets of k-word shingles link at Jaccard similarity ``percent`` / 100."""
     if percent * _STEP < 100:
         raise ValueError(f"percent must be at least {100 / _STEP:.0f}")
-    rows = persist_table(described(docs, k, percent), "jaccard-docs")
+    buckets = bucket_count(docs)
+    rows = persist_table(described(docs, k, percent, buckets), "jaccard-docs")
     firsts = salted_min(rows.where("cid is not null and doc_id is not null").select("doc_id", "cid"), "cid", "doc_id")
     same = persist_table(firsts.select("doc_id", "cid", F.col("_first").alias("rep")).distinct(), "jaccard-same")
     classes = same.groupBy("cid").agg(F.min("rep").alias("rep"))
     sizes = rows.where("cid is not null").groupBy(F.col("cid").alias("_c")).agg(F.max(F.struct("n_shingles", "band", "own", "above")).alias("_s"))
-    stars = persist_table(posting_stars(docs.where("doc_id is not null"), k, percent), "jaccard-stars")
+    stars = persist_table(posting_stars(docs.where("doc_id is not null"), k, percent, buckets), "jaccard-stars")
     ends = stars.select(F.col("leader").alias("cid")).union(stars.select(F.col("member").alias("cid"))).distinct()
     about = persist_table(ends.join(classes, "cid").join(sizes, F.col("cid") == F.col("_c")).select("cid", "rep", F.col("_s.n_shingles").alias("n"), "_s.band", "_s.own", "_s.above"), "jaccard-ends")
     sets = persist_table(fetched(docs, about, k), "jaccard-sets")
 
     def promising(pairs: DataFrame) -> DataFrame:
-        """Of pairs with all signatures they share (a row each), those that share as many as a link needs: at the larger size class
-        a set keeps all its filled fragments but the differing shingles."""
+        """Of pairs with all names of signatures they share (a row each), those that share as many as a link needs: at the larger size
+        class a set keeps all its filled fragments but the differing shingles. All are here: a name that two components share is open."""
         shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
         side = lambda c: about.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "own", "above")])
         full = shared.join(side("a"), "a").join(side("b"), "b")
