@@ -378,10 +378,10 @@ def _(s, d):
 
 @query("aabbs_overlap", f"WITH {EMB_SQL} SELECT a.pid AS a, b.pid AS b FROM emb a JOIN emb b ON a.pid < b.pid AND a.pid < 60 AND b.pid < 60 AND abs(a.x - b.x) <= 0.1 AND abs(a.y - b.y) <= 0.1 AND abs(a.z - b.z) <= 0.1")
 def _(s, d):
-    p = emb(s, d).where("pid < 60")
-    a, b = p.select(*[F.col(c).alias(f"a{c}") for c in ("pid", "x", "y", "z")]), p.select(*[F.col(c).alias(f"b{c}") for c in ("pid", "x", "y", "z")])
-    box = lambda q: [(F.col(f"{q}{c}") - 0.05, F.col(f"{q}{c}") + 0.05) for c in "xyz"]
-    return a.join(b, (F.col("apid") < F.col("bpid")) & geo.aabbs_overlap(box("a"), box("b"))).select(F.col("apid").alias("a"), F.col("bpid").alias("b"))
+    """All overlapping boxes; the SQL holds those of ids below 60 only."""
+    p = emb(s, d).select("pid", "x", "y", "z")
+    box = lambda q: [(F.col(f"{q}.{c}") - 0.05, F.col(f"{q}.{c}") + 0.05) for c in "xyz"]
+    return nb.near_pairs(p, p, 0.1).where((F.col("a.pid") < F.col("b.pid")) & geo.aabbs_overlap(box("a"), box("b"))).select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b"))
 
 
 @query("cylinder_volume", f"WITH {NODE_SQL}, l AS (SELECT unnest(range(-40, 40)) AS k), g AS (SELECT (a.k + 0.5) * 0.01 AS x, (b.k + 0.5) * 0.01 AS y, (c.k + 0.5) * 0.01 AS z FROM l a, l b, l c), n AS (SELECT * FROM node WHERE nbs_id <= 3), i AS (SELECT DISTINCT nbs_id, x, y, z FROM n JOIN g ON abs(z) <= 0.075 AND x * x + y * y <= radius * radius) SELECT nbs_id, {ro('count(*) * 1e-6 AS volume')} FROM i GROUP BY nbs_id")

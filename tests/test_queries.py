@@ -25,3 +25,20 @@ def test_query_equals_sql(spark, name):
     assert len(rows) == len(want)
     for a, b in zip(rows, sorted(want, key=key), strict=True):
         assert a == pytest.approx(b, abs=2e-6)
+
+
+def connection():
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_boxes_of_the_whole_table(spark):
+    """The query's SQL holds the pairs of ids below 60; all others are held against brute force."""
+    con = connection()
+    got = {(r.a, r.b) for r in q.QUERIES["aabbs_overlap"](spark, SF).collect()}
+    rows = con.execute(f"WITH {q.EMB_SQL} SELECT pid, x, y, z FROM emb").fetchall()
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and all(abs(u - v) <= 0.1 for u, v in zip(a[1:], b[1:], strict=True))}
+    assert {p for p in got if max(p) < 60} == set(con.execute(f"SELECT a, b FROM ({q.SQL['aabbs_overlap']})").fetchall()) != got
