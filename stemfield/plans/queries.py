@@ -386,7 +386,8 @@ def _(s, d):
 
 @query("cylinder_volume", f"WITH {NODE_SQL}, l AS (SELECT unnest(range(-40, 40)) AS k), g AS (SELECT (a.k + 0.5) * 0.01 AS x, (b.k + 0.5) * 0.01 AS y, (c.k + 0.5) * 0.01 AS z FROM l a, l b, l c), n AS (SELECT * FROM node WHERE nbs_id <= 3), i AS (SELECT DISTINCT nbs_id, x, y, z FROM n JOIN g ON abs(z) <= 0.075 AND x * x + y * y <= radius * radius) SELECT nbs_id, {ro('count(*) * 1e-6 AS volume')} FROM i GROUP BY nbs_id")
 def _(s, d):
-    n = node(s, d).where("nbs_id <= 3").select("nbs_id", *[F.lit(v).alias(c) for c, v in (("cx", 0.0), ("cy", 0.0), ("cz", 0.0), ("dx", 0.0), ("dy", 0.0), ("dz", 1.0))], "radius", (F.col("h") / 2).alias("half"))
+    """Of every nbs_id; the SQL holds those up to 3 only."""
+    n = node(s, d).select("nbs_id", *[F.lit(v).alias(c) for c, v in (("cx", 0.0), ("cy", 0.0), ("cz", 0.0), ("dx", 0.0), ("dy", 0.0), ("dz", 1.0))], "radius", (F.col("h") / 2).alias("half"))
     return rounded(geo.voxel_volume(n, 0.01))
 
 
