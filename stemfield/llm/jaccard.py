@@ -3,16 +3,19 @@
 The global order of shingles is their hash order. It is cut into fragments twice.
 
 *Candidates.* Two sets of similarity t differ in at most ``d = (|A| + |B|)(1 - t)/(1 + t)`` shingles, and a shingle spoils one
-fragment. With more filled fragments than d, at least one filled fragment is equal in both sets, so its hash is a signature both emit.
-The number of fragments depends on the size class of a set (a factor 1.5 wide); a set near the upper end of its class also emits
-for the next. A set with too few filled fragments (very rare) also emits each shingle, so no link is lost.
+fragment. With more filled fragments than d, at least ``filled - d`` of them are equal in both sets, so their hashes are signatures both
+have. The number of fragments depends on the size class of a set (a factor 1.5 wide); a set near the upper end of its class also emits
+for the next. A set with too few filled fragments (very rare) also emits each shingle, so no link is lost. Only sets that share so many
+signatures with others go on.
 
-*Counting.* For each candidate pair the overlap is counted in each of ``FRAGMENTS`` coarse fragments separately, and the partial
+*Counting.* For a pair of sets the overlap is counted in each of ``FRAGMENTS`` coarse fragments separately, and the partial
 overlaps are summed per pair.
 
-Equal sets are one class from the start, so copies are never paired. The sets of a signature are joined to one leader;
-after the links are known, a signature whose sets are all in one component is settled. Those that are not are tried with other
-leaders, and the pairs of different components that remain are all counted. Hence components are exact, without all pairs of a group.
+*Large groups.* Only components are asked for, so the pairs of a group are never enumerated. Equal sets are one class from the start.
+Each set is counted against one leader, that of most of its signatures. Then the sets meet once more, by the rarest shingles of each
+(``prefixes``: the order is by the number of sets that have a shingle), and only those of different components, and of sizes that
+the places of the shingle allow, are paired: first with one leader again, then all that are left. Two sets of a link share a shingle
+at places that allow their sizes, so no link between different components is lost.
 
 Nulls and empties: a text that is null or has no words has an empty set, is linked with nothing and is its own component. A null
 doc_id links nothing and has a null component. Rows that share a doc_id are one vertex, which has the links of each of its rows.
@@ -26,7 +29,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -35,11 +38,10 @@ from .common import Words, batches, mix, pack, salted_min, table, total_bytes, u
 from .substring import run_hashes
 
 FRAGMENTS = 4
-STAR_ROUNDS = 3
-#: Signatures with at most so many pairs a set are counted pair by pair at once, without further leaders.
-DENSE = 50
-#: Up to so many ids (8 bytes each) may be broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: A set that stands in very many pairs meets them under so many keys.
+SALTS = 64
+#: Up to so many ids (a few numbers each) may be broadcast, as they are counted first; more are joined by shuffle.
+BROADCAST_IDS = 250_000
 _STEP = 1.5
 
 
@@ -111,39 +113,53 @@ def filled(s: np.ndarray, percent: int, buckets: int) -> tuple[int, int, int]:
     return (classes[0] if classes else 0), own, above
 
 
+def fewest(s: np.ndarray, percent: int, buckets: int) -> int:
+    """How many names of signatures a set shares at least with any other set that it links to."""
+    if not len(s):
+        return 1
+    n, (_, *counts) = len(s), filled(s, percent, buckets)
+    out = []
+    for c, kept in zip(size_classes(n, percent), counts):  # noqa: B905  the second count is of a class it need not take part in
+        most = min(lower(c + 1) - 1, 100 * n // percent)
+        out.append(kept - (n + most) * (100 - percent) // (100 + percent))
+    return max(1, min(out))
+
+
 def described(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """``doc_id, n_shingles, cid, band, own, above``: the size and the id of each row's set, its size class and the fragments it fills."""
+    """``doc_id, n_shingles, cid, least``: the size and the id of each row's set, and the names it shares at least with one it links to."""
 
     def run(rows):
         for held in batches(rows, most=4 << 20):
             sets = Sets(held["text"], k)
-            bands = [filled(s, percent, buckets) for s in sets.sets]
-            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64()), *[pa.array([b[i] for b in bands], pa.int32()) for i in range(3)]], ["doc_id", "n_shingles", "cid", "band", "own", "above"])
+            least = [fewest(s, percent, buckets) for s in sets.sets]
+            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64()), pa.array(least, pa.int32())], ["doc_id", "n_shingles", "cid", "least"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, band int, own int, above int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, least int")
 
 
-def bucket_count(docs: DataFrame, group_bytes: int = 4 << 20) -> int:
+def bucket_count(docs: DataFrame, group_bytes: int = 32 << 20) -> int:
+    """Buckets of about ``group_bytes`` of text, and some at any size."""
     _, size = total_bytes(docs)
-    return max(1, -(-size // (2 * group_bytes)))
+    return max(24, -(-size // group_bytes))
 
 
-def posting_stars(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """``sig, leader, member``: of each signature (by its name) that several sets have, a tree over these sets.
+def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """``sig, cid, many``: which sets have a signature (by its name) that another set has too, and about how many have it.
 
-    A map task joins the sets it holds to one of them, and sends that one only; so a signature of very many sets brings
-    its bucket no more than one entry a task.
+    A map task that holds several sets of a signature knows that it is shared: it sends one of them to the bucket, with their number, and
+    passes the others on as they are, spread over further buckets. So a signature of very many sets brings its bucket one entry a batch.
     """
+
     def cut(rows):
         schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-        for held in batches(rows, most=16 << 20):
+        for held in batches(rows, most=12 << 20):
             known, parts = set(), []
-            for at in range(0, len(held["text"]), 1024):
-                sets = Sets(held["text"][at : at + 1024], k)
+            for at in range(0, len(held["text"]), 512):
+                sets = Sets(held["text"][at : at + 512], k)
                 for cid, s in zip(sets.ids(), sets.sets, strict=True):
                     if cid is not None and cid not in known:
                         known.add(cid)
-                        sig = np.unique(signatures(s, percent))
+                        sig = np.unique(named(signatures(s, percent), buckets))
                         parts.append((sig, np.full(len(sig), cid, np.int64)))
             if not parts:
                 continue
@@ -155,19 +171,21 @@ def posting_stars(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
                 continue
             head = np.ones(len(sig), bool)
             head[1:] = sig[1:] != sig[:-1]
-            lead = cid[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
-            kinds = [(sig[head], cid[head], None), (sig[~head], lead[~head], cid[~head])]
+            size = np.diff(np.append(np.flatnonzero(head), len(sig)))
+            many = np.repeat(size, size)
             out, waiting = [], 0
-            for kind, (s, c, m) in enumerate(kinds):
-                where = ((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            for kind, own in enumerate((head, ~head)):
+                s, c, m = sig[own], cid[own], many[own]
+                where = (s >> np.uint64(32)).astype(np.int64)
                 if kind:  # passed on as they are: spread by what they hold
-                    where = buckets + (mix(s ^ m.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                by = np.lexsort((c, where))
+                    where = buckets + (mix(s ^ c.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                by = np.lexsort((s, c, where))
                 edges = np.flatnonzero(np.diff(where[by], prepend=-1))
                 for i, lo in enumerate(edges):
-                    own = by[lo : edges[i + 1] if i + 1 < len(edges) else len(by)]
-                    blob = pack({"kind": kind}, named(s[own], buckets) if kind else s[own].astype(np.uint32), np.diff(c[own], prepend=0), m[own] if kind else b"")
-                    out.append({"bucket": int(where[own[0]]), "blob": blob})
+                    rows_in = by[lo : edges[i + 1] if i + 1 < len(edges) else len(by)]
+                    names = s[rows_in] if kind else s[rows_in].astype(np.uint32)
+                    blob = pack({"kind": kind}, names, np.diff(c[rows_in], prepend=0), np.minimum(m[rows_in], 255).astype(np.uint8))
+                    out.append({"bucket": int(where[rows_in[0]]), "blob": blob})
                     waiting += len(blob)
                     if waiting > 1 << 20:
                         yield pa.RecordBatch.from_pylist(out, schema)
@@ -176,122 +194,228 @@ def posting_stars(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        sig, cid, out = [], [], []
+        parts, out = [], []
         for bucket, blob in zip(frame["bucket"], frame["blob"], strict=True):
             head, (s, c, m) = unpack(blob)
-            c = np.cumsum(np.frombuffer(c, np.int64))
+            c, m = np.cumsum(np.frombuffer(c, np.int64)), np.frombuffer(m, np.uint8).astype(np.int32)
             if head["kind"]:
-                out.append((np.frombuffer(s, np.int64), c, np.frombuffer(m, np.int64)))
+                out.append((np.frombuffer(s, np.int64), c, m))
             else:
-                sig.append(np.frombuffer(s, np.uint32))
-                cid.append(c)
-        if sig:
-            s, c = np.concatenate(sig), np.concatenate(cid)
+                parts.append((np.frombuffer(s, np.uint32), c, m))
+        if parts:
+            s, c, m = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((c, s))
-            s, c = s[order], c[order]
-            head = np.ones(len(s), bool)
-            head[1:] = s[1:] != s[:-1]
-            lead = c[np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))]
-            keep = ~head & (lead != c)
-            out.append((s[keep].astype(np.int64) | (int(bucket) << 32), lead[keep], c[keep]))
+            s, c, m = s[order], c[order], m[order]
+            twice = np.zeros(len(s), bool)
+            twice[1:] = (s[1:] == s[:-1]) & (c[1:] == c[:-1])  # equal sets of several batches
+            np.maximum.at(m, np.flatnonzero(~twice)[np.cumsum(~twice) - 1], m)
+            s, c, m = s[~twice], c[~twice], m[~twice]
+            first = np.flatnonzero(np.diff(s.astype(np.int64), prepend=-1))
+            total = np.repeat(np.add.reduceat(m, first), np.diff(np.append(first, len(s))))
+            keep = total > 1
+            out.append((s[keep].astype(np.int64) | (int(bucket) << 32), c[keep], total[keep]))
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"sig": a, "leader": b, "member": c})
+        return pd.DataFrame({"sig": a, "cid": b, "many": c.astype(np.int32)})
 
-    return docs.select("text").mapInArrow(cut, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "sig long, leader long, member long")
+    return docs.select("text").mapInArrow(cut, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "sig long, cid long, many int")
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``cid, n, frag, part``: the sets of the wanted classes, cut into coarse fragments. ``wanted`` has rep (a doc_id) and cid."""
-    n = wanted.count()
-    side = wanted.select(F.col("rep").alias("_rep"), F.col("cid").alias("_cid"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(side) if n <= BROADCAST_IDS else side, F.col("_id") == F.col("_rep")).select("_cid", "text")
+def limited(rows: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``ids`` on ``column`` = ``key``; the ids are counted, and broadcast while they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(column) == F.col(key))
+
+
+def packed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``batch, blob``: the wanted sets, many a row. ``wanted`` has rep (a doc_id of the set), cid, leader (or null) and leads."""
+    side = wanted.select(F.col("rep").alias("_rep"), F.col("cid").alias("_cid"), F.col("leader").alias("_leader"), F.col("leads").alias("_leads"))
+    rows = limited(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"), "_id", side, "_rep").select("_cid", "_leader", "_leads", "text")
 
     def run(rows):
-        schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("frag", pa.int32()), ("part", pa.list_(pa.int64()))])
+        schema = pa.schema([("batch", pa.int64()), ("blob", pa.binary())])
         for held in batches(rows, most=4 << 20):
             sets = Sets(held["text"], k)
-            out = []
-            for want, cid, s in zip(held["_cid"], sets.ids(), sets.sets, strict=True):
-                if want == cid:
-                    cuts = np.searchsorted(s, [np.uint64(f * (2**64 // FRAGMENTS)) for f in range(1, FRAGMENTS)])
-                    out += [{"cid": cid, "n": len(s), "frag": f, "part": p.view(np.int64)} for f, p in enumerate(np.split(s, cuts)) if len(p)]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+            some = [i for i, (want, cid) in enumerate(zip(held["_cid"], sets.ids(), strict=True)) if want == cid]
+            if not some:
+                continue
+            cids = np.array([held["_cid"][i] for i in some], np.int64)
+            leader = np.array([held["_leader"][i] or 0 for i in some], np.int64)
+            flags = np.array([(held["_leader"][i] is not None) + 2 * bool(held["_leads"][i]) for i in some], np.uint8)
+            sizes = np.array([len(sets.sets[i]) for i in some], np.int64)
+            batch = int.from_bytes(hashlib.blake2b(cids.tobytes(), digest_size=8).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_pylist([{"batch": batch, "blob": pack({}, cids, leader, flags, sizes, np.concatenate([sets.sets[i] for i in some]))}], schema)
 
-    return rows.mapInArrow(run, "cid long, n long, frag int, part array<long>").dropDuplicates(["cid", "frag"])
+    return rows.mapInArrow(run, "batch long, blob binary")
 
 
-def counted(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -> DataFrame:
-    """``a, b`` of the pairs that are linked. Partial overlaps are counted for each fragment and summed per pair.
+def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """cids, leaders, flags (1: has a leader, 2: is one), sizes and all elements of a row of ``packed_sets``."""
+    return tuple(np.frombuffer(p, t) for p, t in zip(unpack(blob)[1], (np.int64, np.int64, np.uint8, np.int64, np.uint64), strict=True))
 
-    A set that stands in very many pairs meets them on (a, salt), of which it has ``salts`` at most.
-    """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("frag").alias("fa"), F.col("part").alias("pa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("frag").alias("fb"), F.col("part").alias("pb"))
-    with_a = salted.join(salted.select("a", "salt").distinct().join(left, "a"), ["a", "salt"])
-    both = with_a.join(right, (with_a["b"] == right["b"]) & (F.col("fa") == F.col("fb"))).select("a", with_a["b"], "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("shared"))
-    sums = both.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+
+def fragments(packed: DataFrame) -> DataFrame:
+    """``cid, n, leader, leads, frag, part``: the sets, cut into coarse fragments of the hash order."""
+
+    def run(rows):
+        cuts = np.array([f * (2**64 // FRAGMENTS) for f in range(1, FRAGMENTS)], np.uint64)
+        for batch in rows:
+            for blob in batch.column(batch.schema.names.index("blob")).to_pylist():
+                cids, leader, flags, sizes, every = unpacked(blob)
+                number = np.repeat(np.arange(len(cids)), sizes) * FRAGMENTS + np.searchsorted(cuts, every, "right")
+                head = np.flatnonzero(np.diff(number, prepend=-1))
+                own, ends = number[head] // FRAGMENTS, np.append(head, len(every))
+                for lo in range(0, len(head), 2048):
+                    i = own[lo : lo + 2048]
+                    edge = ends[lo : lo + len(i) + 1]
+                    part = pa.ListArray.from_arrays(pa.array((edge - edge[0]).astype(np.int32)), pa.array(every[edge[0] : edge[-1]].view(np.int64)))
+                    cols = [pa.array(cids[i]), pa.array(sizes[i]), pa.array(leader[i], mask=(flags[i] & 1) == 0), pa.array((flags[i] & 2) > 0), pa.array((number[head[lo : lo + len(i)]] % FRAGMENTS).astype(np.int32)), part]
+                    yield pa.RecordBatch.from_arrays(cols, ["cid", "n", "leader", "leads", "frag", "part"])
+
+    return packed.mapInArrow(run, "cid long, n long, leader long, leads boolean, frag int, part array<long>")
+
+
+def counted(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs that are linked: ``right`` has a row for each pair and fragment of b, ``left`` one for each fragment of a
+    and salt. Partial overlaps are counted in each fragment separately, and summed per pair."""
+    both = left.join(right, ["a", "salt", "frag"]).select("a", "b", "frag", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("shared"))
+    parts = both.groupBy("a", "b", "frag").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("shared").alias("shared"))  # a set may be there twice
+    sums = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
     return sums.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def with_leaders(frags: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets with their leaders. A leader of very many sets meets them on (leader, salt)."""
+    right = frags.where("leader is not null").select(F.col("leader").alias("a"), salt("cid").alias("salt"), "frag", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    used = stars.select(F.col("leader").alias("a"), salt("cid").alias("salt")).distinct()
+    left = used.join(frags.where("leads").select(F.col("cid").alias("a"), F.col("n").alias("na"), "frag", F.col("part").alias("pa")), "a")
+    return counted(left, right, percent)
+
+
+def verified(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
+    """Links among any pairs a, b; only the sets that stand in them are moved."""
+    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+    held = persist_table(limited(frags.select("cid", "n", "frag", "part"), "cid", ids, "_id").drop("_id"), "jaccard-open-sets")
+    salted = pairs.withColumn("salt", salt("b"))
+    left = salted.select("a", "salt").distinct().join(held.select(F.col("cid").alias("a"), F.col("n").alias("na"), "frag", F.col("part").alias("pa")), "a")
+    right = salted.join(held.select(F.col("cid").alias("b"), F.col("n").alias("nb"), "frag", F.col("part").alias("pb")), "b")
+    return counted(left, right, percent)
+
+
+def prefixes(packed: DataFrame, total: int, percent: int, group: int = 3_000_000) -> DataFrame:
+    """``e, cid, n, most, band``: the shingles by which a set meets similar ones.
+
+    The order of shingles is by the number of sets that have them, then by hash. At place p of a set of n shingles, the rest bounds
+    the overlap with any set that shares no earlier one, hence the size of the partner (``most``). Shingles that no other set has are
+    left out, but fill their places; so a set that has many of its own meets nobody by the shingles that a large group shares.
+
+    Each packed row asks the buckets of shingles for the number of sets, in a compressed list of distinct shingles, and is answered in the
+    same order. A shingle that all sets have brings its bucket one entry a row.
+    """
+    groups = max(12, -(-total // group))
+
+    def keyed(every: np.ndarray) -> np.ndarray:
+        return ((every >> np.uint64(32)) % np.uint64(groups) << np.uint64(32)) | (every & np.uint64(0xFFFFFFFF))
+
+    def ask(rows):
+        schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
+        for batch in rows:
+            names = batch.schema.names
+            for number, blob in zip(batch.column(names.index("batch")).to_pylist(), batch.column(names.index("blob")).to_pylist(), strict=True):
+                key, count = np.unique(keyed(unpacked(blob)[4]), return_counts=True)
+                where = (key >> np.uint64(32)).astype(np.int64)
+                edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(key))
+                out = []
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    low = key[a:b].astype(np.uint32)
+                    out.append({"batch": number, "bucket": int(where[a]), "blob": pack({}, np.diff(low, prepend=np.uint32(0)), np.minimum(count[a:b], 255).astype(np.uint8))})
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        asked = [[np.frombuffer(p, t) for p, t in zip(unpack(blob)[1], (np.uint32, np.uint8), strict=True)] for blob in frame["blob"]]
+        names = np.concatenate([np.cumsum(low, dtype=np.uint32) for low, _ in asked])
+        _, at = np.unique(names, return_inverse=True)
+        total = np.bincount(at, np.concatenate([count for _, count in asked]))
+        code = np.minimum(np.ceil(8 * np.log2(total)), 255).astype(np.uint8)[at]  # 0: a single set has it
+        ends = np.cumsum([len(low) for low, _ in asked])[:-1]
+        return pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "blob": [pack({}, c) for c in np.split(code, ends)]})
+
+    def ordered(sets: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for blob in sets["blob"]:
+            cids, _, _, sizes, every = unpacked(blob)
+            key, at = np.unique(keyed(every), return_inverse=True)
+            got = dict(zip(answers["bucket"], answers["blob"], strict=True))  # equal rows have equal answers
+            code = np.concatenate([np.frombuffer(unpack(got[b])[1][0], np.uint8) for b in np.unique((key >> np.uint64(32)).astype(np.int64)).tolist()])[at]
+            own = np.repeat(np.arange(len(cids)), sizes)
+            order = np.lexsort((every, code, own))
+            place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = sizes[own]
+            most = (n - place) * (100 + percent) // percent - n
+            keep = (most * 100 >= n * percent) & (code[order] > 0)
+            out.append(pd.DataFrame({"e": every[order][keep].view(np.int64), "cid": cids[own[keep]], "n": n[keep], "most": most[keep]}))
+        frame = pd.concat(out) if out else pd.DataFrame({c: np.array([], np.int64) for c in ("e", "cid", "n", "most")})
+        # sizes of similar sets are in the same band or in the next
+        frame["band"] = np.floor(np.log(frame["n"]) / np.log(100.1 / percent)).astype(np.int32)
+        return frame
+
+    asked = packed.mapInArrow(ask, "batch long, bucket long, blob binary")
+    answered = asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket long, blob binary")
+    return packed.groupBy("batch").cogroup(answered.groupBy("batch")).applyInPandas(ordered, "e long, cid long, n long, most long, band int").distinct()
+
+
+def meetings(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``e, cid, n, most, c, m, small, large``: sets that can link, by this shingle, to one of size m of another component."""
+    placed = rows.join(found.select(F.col("node").alias("_node"), "component"), F.col("cid") == F.col("_node"), "left").withColumn("c", F.coalesce("component", "cid")).drop("_node", "component")
+    here = placed.groupBy(F.col("e").alias("_e"), F.col("band").alias("_band"), F.col("n").alias("m")).agg(F.min("c").alias("_c"), F.max("c").alias("_d"), F.max("most").alias("_most"))
+    look = placed.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    fits = (F.col("e") == F.col("_e")) & (F.col("near") == F.col("_band")) & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("_most")) & ((F.col("c") != F.col("_c")) | (F.col("c") != F.col("_d")))
+    return look.join(here, fits).select("e", "cid", "n", "most", "c", "m", F.least("n", "m").alias("small"), F.greatest("n", "m").alias("large"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row; sets of k-word shingles link at Jaccard similarity ``percent`` / 100."""
     if percent * _STEP < 100:
         raise ValueError(f"percent must be at least {100 / _STEP:.0f}")
     buckets = bucket_count(docs)
     rows = persist_table(described(docs, k, percent, buckets), "jaccard-docs")
-    firsts = salted_min(rows.where("cid is not null and doc_id is not null").select("doc_id", "cid"), "cid", "doc_id")
-    same = persist_table(firsts.select("doc_id", "cid", F.col("_first").alias("rep")).distinct(), "jaccard-same")
-    classes = same.groupBy("cid").agg(F.min("rep").alias("rep"))
-    sizes = rows.where("cid is not null").groupBy(F.col("cid").alias("_c")).agg(F.max(F.struct("n_shingles", "band", "own", "above")).alias("_s"))
-    stars = persist_table(posting_stars(docs.where("doc_id is not null"), k, percent, buckets), "jaccard-stars")
-    ends = stars.select(F.col("leader").alias("cid")).union(stars.select(F.col("member").alias("cid"))).distinct()
-    about = persist_table(ends.join(classes, "cid").join(sizes, F.col("cid") == F.col("_c")).select("cid", "rep", F.col("_s.n_shingles").alias("n"), "_s.band", "_s.own", "_s.above"), "jaccard-ends")
-    sets = persist_table(fetched(docs, about, k), "jaccard-sets")
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Of pairs with all names of signatures they share (a row each), those that share as many as a link needs: at the larger size
-        class a set keeps all its filled fragments but the differing shingles. All are here: a name that two components share is open."""
-        shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        side = lambda c: about.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "own", "above")])
-        full = shared.join(side("a"), "a").join(side("b"), "b")
-        top = F.greatest("band_a", "band_b")
-        kept = F.greatest(*[F.when(F.col(f"band_{c}") == top, F.col(f"own_{c}")).otherwise(F.col(f"above_{c}")) for c in "ab"])
-        return full.where(F.col("shared") >= kept - F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))).select("a", "b")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs of sets whose sizes allow one."""
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        size = about.select(F.col("cid"), F.col("n"))
-        fit = ordered.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        return persist_table(counted(fit, sets, percent), "jaccard-links")
-
-    links = verified(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    firsts = salted_min(rows.where("cid is not null and doc_id is not null"), "cid", "doc_id")
+    same = persist_table(firsts.select("doc_id", "cid", F.col("_first").alias("rep"), F.col("n_shingles").alias("n"), "least").distinct(), "jaccard-same")
+    shared = shared_signatures(docs.where("doc_id is not null"), k, percent, buckets)
+    held = shared.groupBy(F.col("cid").alias("_c")).agg(F.collect_set("sig").alias("sigs"), F.avg("many").alias("many"))
+    # sets that share too few signatures with all others together link to none
+    about = same.select("cid", "rep", "n", "least").distinct().join(held, F.col("cid") == F.col("_c")).where(F.size("sigs") >= F.col("least"))
+    near = persist_table(about.select("cid", "rep", "n", "sigs", (F.col("many") * F.size("sigs")).alias("weight")), "jaccard-near")
+    # the leader of a signature is its set that shares most with others; a set's leader is the one of most of its signatures
+    named_by = near.select("cid", "n", F.struct("weight", "cid", "n").alias("w"), F.explode("sigs").alias("sig"))
+    leads = named_by.groupBy("sig").agg(F.max("w").alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("sig", F.col("l.cid").alias("leader"), F.col("l.n").alias("size"))
+    behind = named_by.join(leads, "sig").where(f"leader <> cid and 100 * least(n, size) >= {percent} * greatest(n, size)")
+    stars = persist_table(behind.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("many")).groupBy("cid").agg(F.max(F.struct("many", "leader")).alias("l")).select("cid", F.col("l.leader").alias("leader")), "jaccard-stars")
+    led = stars.select(F.col("leader").alias("cid"), F.lit(True).alias("leads")).distinct()
+    wanted = near.select("cid", "rep").join(stars, "cid", "left").join(led, "cid", "left")
+    packed = persist_table(packed_sets(docs, wanted, k), "jaccard-sets")
+    frags = fragments(packed)
+    links = persist_table(with_leaders(frags, stars, percent), "jaccard-links")
     found = persist_table(connected_components(links, "a", "b"), "jaccard-components")
-    for turn in range(STAR_ROUNDS + 1):
-        members = persist_table(unsettled(stars, found), "jaccard-open")
-        size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("pairs")).first()
-        if not size["rows"]:
+    meet = persist_table(prefixes(packed, near.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], percent), "jaccard-prefixes")
+    for last in (False, True):
+        live = persist_table(meetings(meet, found, percent), "jaccard-open")
+        if live.isEmpty():
             break
-        last = turn == STAR_ROUNDS or size["pairs"] <= DENSE * size["rows"]
+        place = ["e", "small", "large"]
         if last:
-            other = members.select("sig", F.col("cid").alias("b"), F.col("component").alias("cb"))
-            pairs = promising(members.withColumnRenamed("cid", "a").join(other, "sig").where("a < b and component <> cb"))
-        else:
-            # the set that shares most signatures with others is the likeliest to be similar to many
-            sizes_of = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-            rank = members.join(sizes_of, "sig").groupBy(F.col("cid").alias("_cid")).agg(F.sum("m").alias("weight"))
-            members = members.join(rank, F.col("cid") == F.col("_cid")).drop("_cid")
-            order = F.struct(F.col("weight") * -1 if turn == 0 else F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
-            lead = members.groupBy("sig").agg(F.min(order).alias("l")).select("sig", F.col("l.cid").alias("a"), F.col("l.component").alias("ca"))
-            pairs = members.join(lead, "sig").where("component <> ca").select("a", F.col("cid").alias("b"))
-        more = verified(pairs)
+            other = live.select(*place, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+            pairs = live.withColumnRenamed("cid", "a").join(other, place).where("a < b and c <> cb and nb = m").select("a", "b").distinct()
+        else:  # first each set with one leader only, that of most of its places
+            lead = live.groupBy(*place).agg(F.max(F.struct("most", "cid", "n", "c")).alias("l"))
+            tried = live.join(lead, place).where("c <> l.c and m = l.n").groupBy(F.col("l.cid").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("many"))
+            pairs = tried.groupBy("b").agg(F.max(F.struct("many", "a")).alias("l")).select("l.a", "b")
+        more = persist_table(verified(persist_table(pairs, "jaccard-pairs"), frags, percent), "jaccard-links")
         if not more.isEmpty():
-            links = persist_table(links.union(more).distinct(), "jaccard-links")
+            links = links.union(more)
             found = persist_table(connected_components(links, "a", "b"), "jaccard-components")
-        if last:
-            break
     of_class = found.select(F.col("node").alias("cid"), F.col("component").alias("_in"))
     edges = same.join(of_class, "cid", "left").select("doc_id", F.coalesce("_in", "cid").alias("group"))
     # a row's class stands for its component; rows of one doc_id join the components of their classes
@@ -306,15 +430,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def unsettled(stars: DataFrame, found: DataFrame) -> DataFrame:
-    """``sig, cid, component`` of the signatures whose sets are not all in one component."""
-    comp = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    placed = stars.join(comp("leader"), "leader", "left").join(comp("member"), "member", "left").select("sig", "leader", "member", F.coalesce("leader_in", "leader").alias("leader_in"), F.coalesce("member_in", "member").alias("member_in"))
-    held = placed.join(placed.where("leader_in <> member_in").select("sig").distinct(), "sig", "left_semi")
-    return held.select("sig", F.col("leader").alias("cid"), F.col("leader_in").alias("component")).union(held.select("sig", F.col("member").alias("cid"), F.col("member_in").alias("component"))).distinct()
-
-
-def salted_group(edges: DataFrame, least: DataFrame, salts: int = 64) -> DataFrame:
+def salted_group(edges: DataFrame, least: DataFrame, salts: int = SALTS) -> DataFrame:
     """``doc_id, least`` of each edge's group, with the rows of a large group spread over salts."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return salted.join(salted.select("group", "salt").distinct().join(least, "group"), ["group", "salt"]).select("doc_id", "least").distinct()

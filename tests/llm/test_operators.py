@@ -160,18 +160,18 @@ def test_jaccard_links_behind_leaders_of_other_batches(spark, k, percent, n):
     assert got == linked(texts, k, percent)
 
 
-def test_a_signature_has_one_star_over_all_batches(spark):
+def test_a_signature_has_one_name_over_all_batches(spark):
     r = random.Random(5)
     base = prose(r, 80).split()
     groups = [[" ".join([*base[:at], f"e{g}", *base[at + 1 :]]) for at in r.sample(range(80), 12)] for g in range(4)]
     every = jaccard.Sets([t.encode() for g in groups for t in g], 3)
-    holders, stars = defaultdict(set), defaultdict(set)
+    holders, found = defaultdict(set), defaultdict(set)
     for cid, s in zip(every.ids(), every.sets, strict=True):
         for sig in jaccard.signatures(s, 90).tolist():
             holders[sig].add(cid)
-    for row in jaccard.posting_stars(in_batches(spark, groups), 3, 90, 1).collect():
-        stars[row.sig] |= {row.leader, row.member}
-    assert sorted(map(sorted, stars.values())) == sorted(sorted(c) for c in holders.values() if len(c) > 1)
+    for row in jaccard.shared_signatures(in_batches(spark, groups), 3, 90, 1).collect():
+        found[row.sig].add(row.cid)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(c) for c in holders.values() if len(c) > 1)
 
 
 @pytest.mark.parametrize("bits", [6, 8, 32])
@@ -198,6 +198,32 @@ def test_similar_sets_share_as_many_names_as_the_filter_asks(monkeypatch, bits):
     assert tried > 300
 
 
+@pytest.mark.parametrize(("k", "percent", "few"), [(3, 90, 2), (5, 80, 3)])
+def test_jaccard_large_group_of_near_copies(spark, k, percent, few):
+    """Most texts are copies of one with some edits each, around the threshold, of sizes that differ; some share an id."""
+    r = random.Random(k)
+    base = [f"b{i}" for i in range(70)]
+    texts = []
+    for _ in range(260):
+        v = list(base)
+        for _ in range(r.randint(0, few + 1)):
+            at = r.randrange(len(v))
+            v[at : at + 1] = r.choice([[f"n{r.random()}"], [], [v[at], f"n{r.randrange(4)}"]])
+        texts.append(" ".join(v))
+    other = [prose(r, 40) for _ in range(20)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(in_batches(spark, [texts[i::5] for i in range(5)] + [other]), k, percent).collect()}
+    order = [t for i in range(5) for t in texts[i::5]] + other
+    want = linked(order, k, percent)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 250
+    # ids that several rows share join the components of their texts
+    docs = documents(spark, [(i // 2, t) for i, t in enumerate(order)] + [(None, order[0]), (10**9, None)])
+    joined = list(range(len(order) // 2))
+    for i, (_, c) in want.items():
+        a, b = joined[i // 2], joined[c // 2]
+        joined = [min(a, b) if x in (a, b) else x for x in joined]
+    assert {(x.doc_id, x.component_id) for x in jaccard.near_duplicates(docs, k, percent).collect()} == {(i, c) for i, c in enumerate(joined)} | {(None, None), (10**9, 10**9)}
+
+
 def test_signatures_meet_whenever_sets_are_similar():
     r = np.random.default_rng(8)
     for n in (9, 12, 20, 60, 400):
