@@ -18,6 +18,7 @@ import hashlib
 import json
 import struct
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ _NOT_PLAIN = regex.compile("[^\\x09-\\x0d\\x20-\\x7e\\u00a0-\\u024f]")
 class Trie:
     """Encodings of words, with the last token of every prefix on the current path."""
 
-    def __init__(self, path: str, most_pairs: int = 1_000_000):
+    def __init__(self, path: str, most_pairs: int = 300_000):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -124,7 +125,7 @@ class Trie:
                         last.append(token)
                         break
             else:
-                raise ValueError(f"the vocabulary has no token for {word[i] + tail!r}")
+                raise ValueError(f"the vocabulary has no token for {prefix[i:]!r}")
         self.word = word
         out, at = [], n
         while at:
@@ -136,7 +137,7 @@ class Trie:
 class Codec:
     """Encoder and decoder of texts for one tokenizer file, with a bounded memory of words."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.trie, self.most = Trie(path), most_words
@@ -148,7 +149,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of: dict[str, bytes] = {}
-        self.text_of: dict[str, str] = {}
+        self.name = self.trie.token | {i: content for content, i in self.special.items()}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens. Plain texts by the tokenizer's own pattern, others by the library."""
@@ -160,35 +161,27 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Encode the words not known yet, in the order of a depth-first walk of their trie."""
         if len(self.bytes_of) + len(words) > self.most:  # words of this batch stay: they hold the frequent ones
-            for known in (self.bytes_of, self.text_of):
-                stay = {w: known[w] for w in words if w in known}
-                known.clear()
-                known |= stay
+            self.bytes_of = {w: self.bytes_of[w] for w in words if w in self.bytes_of}
         mapped_of = lambda w: w if w.isascii() and w.isalnum() else "".join(map(BYTE_CHARS.__getitem__, w.encode("utf-8", "surrogateescape")))
         new = sorted((mapped_of(w), w) for w in words if w not in self.bytes_of)
         for mapped, w in new:
             tokens = self.trie.encode(mapped)
             self.bytes_of[w] = struct.pack(f"<{len(tokens)}I", *(self.trie.ids[t] for t in tokens))
-            self.text_of[w] = " ".join(tokens)
 
     def split(self, text: str) -> list[tuple[bool, list[str]]]:
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
         return [(True, [p]) if p in self.special and i % 2 else (False, self.words(p)) for i, p in enumerate(parts) if p]
 
-    def encode_all(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
-        """Of each text the ids as little-endian 32-bit integers, and the tokens of its words."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Of each text the ids as little-endian 32-bit integers."""
         cut = [self.split(t) for t in texts]
         self.learn({w for parts in cut for special, words in parts if not special for w in words})
-        out = []
-        for parts in cut:
-            ids = b"".join(struct.pack("<I", self.special[words[0]]) if special else b"".join(map(self.bytes_of.__getitem__, words)) for special, words in parts)
-            out.append((ids, [x for special, words in parts for x in (words if special else map(self.text_of.__getitem__, words))]))
-        return out
+        ids_of = self.bytes_of.__getitem__
+        return [b"".join(struct.pack("<I", self.special[words[0]]) if special else b"".join(map(ids_of, words)) for special, words in parts) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         """The tokenizer has no decoder: tokens are joined by spaces."""
-        names = {i: s for s, i in self.special.items()}
-        return " ".join(names.get(i) or self.trie.token[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids))
+        return " ".join(map(self.name.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -201,15 +194,15 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, and ``ids`` (array<int>) if asked for."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, the last of the text decoded from the ids, and ``ids`` (array<int>) if asked for."""
 
     def run(rows):
         fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids
         coder = codec(path)
         for held in batches(rows, most=4 << 20):
             got = coder.encode_all([t.decode() if t else "" for t in held["text"]])
-            cols = [held["doc_id"], [len(i) // 4 for i, _ in got], [hashlib.sha256(i).hexdigest() for i, _ in got], [hashlib.sha256(" ".join(w).encode()).hexdigest() for _, w in got]]
-            cols += [[list(struct.unpack(f"<{len(i) // 4}i", i)) for i, _ in got]] * keep_ids
+            cols = [held["doc_id"], [len(i) // 4 for i in got], [hashlib.sha256(i).hexdigest() for i in got], [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in got]]
+            cols += [[np.frombuffer(i, np.int32) for i in got]] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -21,6 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and ``more``: whatever the caller's columns are called, they clash with none of an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unboxed(rows: DataFrame, **results: Column) -> DataFrame:
+    """The caller's columns again, with ``results`` behind them; one of the caller's that has a result's name is replaced."""
+    fields = [f.name for f in rows.schema["row"].dataType.fields if f.name not in results]
+    return rows.select(*[F.col("row").getField(f).alias(f) for f in fields], *[c.alias(n) for n, c in results.items()])
+
+
+def few_broadcast(ids: DataFrame, most: int = 250_000) -> DataFrame:
+    """``ids`` (a few numbers a row) to be broadcast while they are few, as counted now; larger tables are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id's decimal text leaves ``fold`` modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary")) % folds == fold

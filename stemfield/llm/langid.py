@@ -6,27 +6,27 @@ frequencies that are counted over all training documents, and scaled to length 1
 fitted on a held-back part of the sample calibrates its probabilities.
 
 Nulls and empties: a text that is null or has no letter is ``und`` with score 0. Rows with a null language are not learned from. Texts are read
-whole, in blocks. With no training rows every text is ``und``. Repeated rows get equal results; further columns pass through.
+whole, in blocks. With no training rows every text is ``und``. Repeated rows get equal results; further columns pass through, but
+``lang_pred`` and ``score`` are replaced. A letter is a character of the general category L.
 Ties go to the first language in alphabetical order.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import boxed, held_out, table, unboxed
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Bound of the sample that the regression is fitted on.
 TRAIN_ROWS = 6000
 _BLOCK = 1 << 17
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -164,9 +164,11 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in rows:
             got = [model.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "language", "p"])
 
-    return docs.mapInArrow(run, docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double"))
+    rows = boxed(docs, text=docs["text"])
+    found = rows.mapInArrow(run, rows.select("row").schema.add("language", "string").add("p", "double"))
+    return unboxed(found, lang_pred=F.col("language"), score=F.col("p"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from ..session import persist_table
+from .common import boxed, few_broadcast, table, unboxed
 
 #: Longest paragraph, in code points.
 LEAF = 24
+#: Quantiles of the ids that the driver holds, at most.
+CUTS = 256
 PIECES = rf"(?s).{{1,{LEAF}}}?[.!?]+ ?|.{{1,{LEAF}}}"
 
 
@@ -61,29 +64,36 @@ def differing_sections(a: Column, b: Column) -> Column:
     )
 
 
-def with_successor(docs: DataFrame, carried: list[str], rows_per_bucket: int = 2048, most_buckets: int = 4096) -> DataFrame:
+def with_successor(docs: DataFrame, carried: list[str], rows_per_bucket: int = 2048) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the ``carried`` columns of the row behind in descending doc_id as ``next_*``; behind
-    the last comes the first.
+    the last comes the first. Columns of those names are replaced.
 
-    Rows are dealt into ranges of doc_id; the head row of each range also goes to the range before it as a ghost, so
-    every row finds its successor in its own range and the texts are shuffled once. What the driver holds is the head
-    of each range, at most ``most_buckets`` numbers.
+    Rows are dealt into ranges of doc_id, in proportion to their number; the head row of each range also goes to the range before it as a
+    ghost, so every row finds its successor in its own range and the texts are shuffled once. ``CUTS`` quantiles at most are taken to the driver, and the
+    ids between two of them are cut evenly. The heads, one a range, are a table.
     """
     rank = F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1))
     ids = docs.select(rank.alias("rank"))
-    n = ids.count()
-    count = max(1, min(most_buckets, n // rows_per_bucket))
-    cuts = sorted({int(x) for x in ids.agg(F.percentile_approx("rank", [i / count for i in range(1, count)], 10_000)).first()[0]}) if count > 1 else []
-    bucket = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < rank))") if cuts else F.lit(0)
-    heads = {r["bucket"]: r["head"] for r in ids.select("rank", bucket.alias("bucket")).groupBy("bucket").agg(F.min("rank").alias("head")).collect()}
-    order = sorted(heads)
-    #: the head of each range serves the range before it; that of the first serves the last
-    serves = {heads[b]: order[i - 1] for i, b in enumerate(order)} or {0: 0}
-    ghosts = F.create_map(*[F.lit(x) for pair in serves.items() for x in pair])
-    dealt = docs.withColumn("rank", rank).withColumn("bucket", bucket.cast("int"))
-    dealt = dealt.withColumn("to", F.explode(F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.struct(ghosts[F.col("rank")].alias("b"), F.lit(1).alias("ghost"))), lambda x: x["b"].isNotNull())))
-    w = Window.partitionBy("to.b").orderBy("to.ghost", "rank", F.xxhash64("text"))
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).where("to.ghost = 0").drop("rank", "bucket", "to")
+    n, low, high = ids.agg(F.count(F.lit(1)), F.coalesce(F.min("rank"), F.lit(0)), F.coalesce(F.max("rank"), F.lit(0))).first()
+    ranges = max(1, n // rows_per_bucket)
+    top = min(CUTS, ranges)
+    cuts = sorted({int(x) for x in ids.agg(F.percentile_approx("rank", [i / top for i in range(1, top)], 10_000)).first()[0]}) if top > 1 else []
+    each = -(-ranges // (len(cuts) + 1))
+    lists = lambda xs: "array(" + ",".join(f"{x}D" for x in xs) + ")"
+    at = f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < rank))" if cuts else "0"
+    left, right = (f"get({lists(x)}, {at})" for x in ([low, *cuts], [*cuts, high]))
+    inside = f"least({each - 1}L, greatest(0L, cast(floor((double(rank) - {left}) / greatest(1D, {right} - {left}) * {each}D) as long)))" if each > 1 else "0L"
+    bucket = F.expr(f"{at} * {each}L + {inside}")
+    heads = ids.select("rank", bucket.alias("bucket")).groupBy("bucket").agg(F.min("rank").alias("head"))
+    order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row a range
+    before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    serves = persist_table(heads.select(F.col("head").alias("_head"), before.alias("_serves")), "merkle-heads")
+    dealt = boxed(docs, rank=rank).withColumn("bucket", bucket).join(few_broadcast(serves), F.col("rank") == F.col("_head"), "left")
+    to = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("_serves").alias("b"), F.lit(1).alias("ghost"))), lambda x: x["b"].isNotNull())
+    dealt = dealt.select("row", "rank", F.explode(to).alias("to")).select("row", "rank", "to.b", "to.ghost")
+    w = Window.partitionBy("b").orderBy("ghost", "rank", F.xxhash64("row.text"))
+    followed = dealt.withColumn("after", F.lead(F.struct(*[F.col("row").getField(c).alias(c) for c in carried])).over(w)).where("ghost = 0")
+    return unboxed(followed, **{f"next_{c}": F.col("after").getField(c) for c in carried})
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

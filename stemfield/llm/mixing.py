@@ -11,7 +11,8 @@
 
 Nulls and empties: a null text is an empty one, with no tokens; it takes part with weight 0 and gets the rate of its posterior.
 Labelled rows with a null label or language are not learned from; with no labelled rows there is one domain ``all``. Repeated
-rows and repeated ids are rows of their own with equal rates. An empty table gives an empty result; further columns pass through.
+rows and repeated ids are rows of their own with equal rates. An empty table gives an empty result; further columns pass through,
+but ``n_tokens``, ``domain``, ``posterior`` and ``rate`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .common import table
+from .common import boxed, table, unboxed
 
 #: The parameter that bounds the labelled sample of the classifier.
 TRAIN_ROWS = 20_000
@@ -35,6 +36,8 @@ SHAPE = [
     ("word_length", "least(15, int(floor(2D * _chars / greatest(1, _tokens)))) ", 16),
     ("size", "least(15, int(floor(log2(1D + _tokens))))", 16),
 ]
+#: So many domains at most have a target of their own, the commonest of the sample; all others together are the domain ``other``.
+MOST_DOMAINS = 64
 SHRINK = 0.5  # features are not independent: their log-likelihoods count half
 
 
@@ -77,9 +80,13 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Classifier:
     """A classifier of (language, label) from a bounded sample of labelled rows."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    sample = docs.where("lang is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # at most train_rows rows are broadcast
+    sample = docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # at most train_rows rows are broadcast
     sample = persist_table(measured(sample.select("text", F.concat_ws("-", "lang", F.col("_label").cast("string")).alias("_domain"))).drop("text"), "mix-sample")
-    sizes = {r["_domain"]: r["n"] for r in sample.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_domain").limit(64).collect()}
+    sizes = {r["_domain"]: r["n"] for r in sample.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_domain").collect()}  # at most one a row of the sample
+    if len(sizes) > MOST_DOMAINS:
+        own = list(sizes)[: MOST_DOMAINS - 1]
+        sample = sample.withColumn("_domain", F.when(F.col("_domain").isin(own), F.col("_domain")).otherwise("other"))
+        sizes = {d: sizes[d] for d in own} | {"other": sum(n for d, n in sizes.items() if d not in own)}
     domains = sorted(sizes)
     if not domains:
         return Classifier(["all"], [1.0], [], [[[0.0]] * n for _, n in _features([])])
@@ -97,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
 
 
 class Mix:
-    """A fitted mix: the classifier, the targets in tokens, the gradient of each iteration, and the table of tokens and posteriors (``doc_id, n_tokens, posterior``)."""
+    """A fitted mix: the classifier, the targets in tokens, the gradient of each iteration, how far the tokens of any domain are from their target in the
+    end (``residual``, as a share of it), and the table of documents (``row, n_tokens, posterior``)."""
 
     def __init__(self, classifier: Classifier, tokens: float, current: list[float], targets: list[float], steps: list[list[float]], residual: float, documents: DataFrame):
         self.classifier, self.tokens, self.current, self.targets, self.steps, self.residual, self.documents = classifier, tokens, current, targets, steps, residual, documents
@@ -115,11 +123,14 @@ def fold(start: Column, steps: list[list[float]], posterior: Column) -> Column:
     return F.aggregate(given, start, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def fit_mix(docs: DataFrame, labels: DataFrame, goal, iterations: int = 60, tolerance: float = 1e-3, every: int = 10, train_rows: int = TRAIN_ROWS) -> Mix:
-    """``goal(domains, shares) -> list`` gives the target tokens of each domain as shares of all present tokens."""
+def fit_mix(docs: DataFrame, labels: DataFrame, goal, iterations: int = 60, tolerance: float = 1e-3, every: int = 10, train_rows: int = TRAIN_ROWS, keep: bool = False) -> Mix:
+    """``goal(domains, shares) -> list`` gives the target tokens of each domain as shares of all present tokens. ``keep``: the table of documents
+    has all their columns, as ``realised`` needs, not the id alone. Ends within ``tolerance`` of all targets or after ``iterations``."""
     model = fit(docs, labels, train_rows=train_rows)
     k = len(model.domains)
-    base = persist_table(model.classified(measured(docs.select("doc_id", "text"))).select("doc_id", F.col("_tokens").alias("n_tokens"), "posterior"), "mix-docs")
+    rows = boxed(docs if keep else docs.select("doc_id", "text"), text=docs["text"])
+    base = model.classified(measured(rows)).select("row" if keep else F.struct("row.doc_id").alias("row"), F.col("_tokens").alias("n_tokens"), "posterior")
+    base = persist_table(base, "mix-docs")
     narrow = base.select(F.col("n_tokens").alias("_tokens"), F.col("posterior").alias("p"), F.lit(1.0).alias("r"))
     sums = lambda df: [F.coalesce(F.sum(F.col("_tokens") * F.col("r") * F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
     first = narrow.agg(F.coalesce(F.sum("_tokens"), F.lit(0)).alias("n"), *sums(narrow)).first()
@@ -144,23 +155,26 @@ def fit_mix(docs: DataFrame, labels: DataFrame, goal, iterations: int = 60, tole
 
 
 def with_rates(rows: DataFrame, mix: Mix) -> DataFrame:
-    """``rows`` (posterior, ...) with ``domain``, the likeliest, and ``rate``."""
+    """``rows`` (row, n_tokens, posterior) as the caller's columns with ``n_tokens``, ``domain``, the likeliest, ``posterior`` and ``rate``."""
     names = F.array(*[F.lit(d) for d in mix.classifier.domains])
-    return rows.withColumn("domain", names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]).withColumn("rate", mix.rate(F.col("posterior")))
+    domain = names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
+    return unboxed(rows, n_tokens=F.col("n_tokens"), domain=domain, posterior=F.col("posterior"), rate=mix.rate(F.col("posterior")))
 
 
 def rated(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with ``n_tokens, domain, posterior, rate``, from their texts alone."""
-    out = with_rates(mix.classifier.classified(measured(docs)).withColumn("n_tokens", F.col("_tokens")), mix)
-    return out.drop("_tokens", "_chars", "_bytes", "_sym", "_lines", "_distinct", "_text")
+    """``docs`` with ``n_tokens, domain, posterior, rate``, from their texts alone; they may be other documents than those of the fit."""
+    rows = mix.classifier.classified(measured(boxed(docs, text=docs["text"])))
+    return with_rates(rows.select("row", F.col("_tokens").alias("n_tokens"), "posterior"), mix)
 
 
-def realised(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Each document as often as its rate says: the whole part, and one more with the rest as probability, drawn
+def realised(mix: Mix) -> DataFrame:
+    """Each document of the fit (with ``keep``) as often as its rate says: the whole part, and one more with the rest as probability, drawn
     from a hash of the id and text, so that repeats of the run draw alike."""
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    row = F.col("row")
+    draw = F.pmod(F.xxhash64(row.getField("doc_id"), row.getField("text"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    rows = mix.documents.select("row", mix.rate(F.col("posterior")).alias("rate"))
     copies = F.floor("rate").cast("int") + (draw < F.col("rate") - F.floor("rate")).cast("int")
-    return rated(docs, mix).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    return unboxed(rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))))
 
 
 def smoothed(power: float = 0.5, poor: float = 0.25):
@@ -177,4 +191,4 @@ def smoothed(power: float = 0.5, poor: float = 0.25):
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     mix = fit_mix(docs, table(spark, sf_dir, "labels"), smoothed())
-    return with_rates(mix.documents, mix).select("doc_id", "n_tokens", "domain", "posterior", "rate")
+    return with_rates(mix.documents, mix).select("doc_id", "n_tokens", "domain", "posterior", "rate", F.lit(mix.residual).alias("residual"))

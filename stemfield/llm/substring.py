@@ -9,7 +9,7 @@ its kind is reported. Words that such a window covers are removed from their doc
 
 Nulls and empties: a null or empty text has no words, and its kept text is empty. A null doc_id counts as the smallest and stays
 null. Rows that share a doc_id are told apart by their text: equal windows at the same (doc_id, start) are not earlier
-than one another, so identical rows keep or lose the same words. Further columns pass through. An empty table gives an empty result.
+than one another, so identical rows keep or lose the same words. Further columns pass through; those named ``kept``, ``n_words`` or ``n_removed`` are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mix, pack, shingle_hashes, table, total_bytes, unpack
+from .common import Words, batches, boxed, mix, pack, shingle_hashes, table, total_bytes, unboxed, unpack
 
 _LEAST = -(2**63)
 _LONGEST = 4096  # windows of one super-k-mer
@@ -191,16 +191,16 @@ def covered(n_words: int, starts: list[int], counts: list[int], k: int) -> np.nd
 def without_repeats(docs: DataFrame, k: int = 20, keep_clean: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``kept`` (the words that stay, joined by one space; the text itself where nothing is
     removed and ``keep_clean``), ``n_words`` and ``n_removed``."""
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "h": F.xxhash64("text").bitwiseAND(0xFFFFFFFF)})
-    found = late_windows(keyed, k).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_counts"))
-    joined = keyed.join(found, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left").drop("_doc", "_h", "doc", "h")
-    schema = joined.drop("_starts", "_counts").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    keyed = boxed(docs, doc=F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), h=F.xxhash64(docs["text"]).bitwiseAND(0xFFFFFFFF), text=docs["text"])
+    found = late_windows(keyed, k).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+    joined = keyed.drop("text").join(found, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left").select("row", F.col("row").getField("text").alias("text"), "starts", "counts")
+    schema = joined.select("row").schema.add("left", "string").add("size", "long").add("gone", "long")
 
     def cut(rows):
         for batch in rows:
             for small in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512)):
                 kept, size, gone = [], [], []
-                for t, s, c in zip(small.column("text").to_pylist(), small.column("_starts").to_pylist(), small.column("_counts").to_pylist(), strict=True):
+                for t, s, c in zip(small.column("text").to_pylist(), small.column("starts").to_pylist(), small.column("counts").to_pylist(), strict=True):
                     words = (t or "").encode().split()
                     size.append(len(words))
                     if s:
@@ -211,11 +211,9 @@ def without_repeats(docs: DataFrame, k: int = 20, keep_clean: bool = True) -> Da
                     else:
                         gone.append(0)
                         kept.append((t or "") if keep_clean else b" ".join(words).decode())
-                cols = [small.column(i) for i, n in enumerate(small.schema.names) if n not in ("_starts", "_counts")]
-                names = [n for n in small.schema.names if n not in ("_starts", "_counts")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([small.column("row"), pa.array(kept, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64())], ["row", "left", "size", "gone"])
 
-    return joined.mapInArrow(cut, schema)
+    return unboxed(joined.mapInArrow(cut, schema), kept=F.col("left"), n_words=F.col("size"), n_removed=F.col("gone"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 Every word is the sum of hashed embeddings: its own bucket and those of its first 4, 5 and 6 bytes. Filters of
-several widths run over the words of the whole text, the largest value of each filter goes to a logistic output. The classifier is
-fitted on a bounded sample of labelled rows (``MOST_TOXIC`` and ``MOST_CLEAN`` rows, those of smallest id hash); a held-back part of
-it sets the scale of the scores, with weights that restore the share of toxic rows among all labels, and a threshold for each language. Labels, language,
-source and id are no inputs of a score; a language only selects the threshold of the decision ``toxic``.
+several widths run over the words of the whole text, the largest value of each filter goes to a logistic output. Labelled rows are split by a
+hash of their id. Of four fifths, the net is fitted on a bounded sample (``MOST_TOXIC`` and ``MOST_CLEAN`` rows and ``MOST_BYTES`` of text of
+each kind, those of smallest id hash). All rows of the last fifth, however many, are scored where they lie, and their counts by bin of the
+score set the scale of the scores and a threshold for each language. Labels, language, source and id are no inputs of a score; a language only selects the
+threshold of the decision ``toxic``.
 
 Nulls and empties: a null text is an empty one; empty texts get the score of no words. Texts are read whole, in blocks of
 bounded size. Null labels are not learned from; a null or unseen language has the threshold ``CUT``. With no labels of one of the two kinds
-every score is the share of toxic labels (0 if there are none). Repeated rows get equal scores; further columns pass through.
+every score is the share of toxic labels (0 if there are none); with none of one kind in the last fifth the scale stays 1 and thresholds are ``CUT``. Repeated
+rows get equal scores, and a row whose id has several labels counts once for each. Further columns pass through; those named ``score``, ``threshold`` or ``toxic`` are replaced.
 """
 
 from __future__ import annotations
@@ -17,11 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Words, batches, held_out, mix, table
+from .common import Words, batches, boxed, few_broadcast, held_out, mix, table, unboxed
 
-#: Bounds of the labelled sample.
-MOST_TOXIC, MOST_CLEAN = 3000, 5000
+#: Bounds of the labelled sample: rows of each kind, and bytes of their texts (a row is taken while those before it are within).
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 3000, 5000, 24 << 20
+#: Of so many parts of the labelled rows, the last is kept for scale and thresholds.
+PARTS = 5
+#: Width of the bins in which logits are counted.
+BIN = 0.02
 CUT = 0.3
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIXES = (4, 5, 6)
@@ -68,13 +75,26 @@ class Net:
             z += x[j : j + n] @ self.conv[w][j]
         return z + self.bias[w]
 
+    def steady_maps(self, x: np.ndarray, w: int, block: int = 4096) -> np.ndarray:
+        """``maps`` with all sums in one order, so that a row's values do not depend on its place, as they do in a matrix product."""
+        n = len(x) - WIDTHS[w] + 1
+        out = np.empty((n, FILTERS), np.float32)
+        for a in range(0, n, block):
+            z = np.broadcast_to(self.bias[w], (min(block, n - a), FILTERS)).copy()
+            for j in range(WIDTHS[w]):
+                part = x[a + j : a + j + len(z)]
+                for d in range(DIM):
+                    z += part[:, d : d + 1] * self.conv[w][j][d]
+            out[a : a + block] = z
+        return out
+
     def pooled(self, buckets: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """The largest value of each filter over a text of any length, in blocks."""
         padded = np.concatenate([buckets if len(buckets) else np.zeros((1, buckets.shape[1]), np.uint32), np.zeros((PAD, buckets.shape[1]), np.uint32)])
         best = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32)
         for a in range(0, len(padded) - PAD, block):
             x = self.rows(padded[a : a + block + PAD])
-            best = np.maximum(best, np.concatenate([self.maps(x, w)[: len(x) - PAD].max(0) for w in range(len(WIDTHS))]))
+            best = np.maximum(best, np.concatenate([self.steady_maps(x, w)[: len(x) - PAD].max(0) for w in range(len(WIDTHS))]))
         return best
 
     def pooled_all(self, buckets: np.ndarray, first: np.ndarray, block: int = 1 << 14) -> np.ndarray:
@@ -95,11 +115,14 @@ class Net:
                 flat[put] = buckets[take]
                 x = self.rows(np.concatenate([flat, np.zeros((PAD, flat.shape[1]), np.uint32)]))
                 edges = np.stack([start, start + size - PAD], 1).ravel()
-                out[group] = np.concatenate([np.maximum.reduceat(self.maps(x, w)[: len(flat)], edges)[0::2] for w in range(len(WIDTHS))], 1)
+                out[group] = np.concatenate([np.maximum.reduceat(self.steady_maps(x, w)[: len(flat)], edges)[0::2] for w in range(len(WIDTHS))], 1)
         return out
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
-        return np.maximum(pooled, 0) @ self.out + self.shift
+        return (np.maximum(pooled, 0) * self.out).sum(1) + self.shift
+
+    def logits(self, texts: list[bytes | None]) -> np.ndarray:
+        return self.logit(self.pooled_all(*word_buckets(texts))).astype(np.float64)
 
     def score(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale * self.logit(self.pooled_all(buckets, first)) + self.offset)
@@ -212,59 +235,75 @@ class Model:
         return np.full(len(texts), self.share) if self.net is None else self.net.score(*word_buckets(texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
     """``docs`` has doc_id, text and lang, of which only rows with a label in ``labels`` (doc_id, toxic) are learned from."""
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    pick = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("part")), F.lit(PARTS))
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"), (part == PARTS - 1).alias("_last")).where("_y in (0, 1)")
+    sizes = {(r["_y"], r["_last"]): r["n"] for r in known.groupBy("_y", "_last").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = sum(n for (y, _), n in sizes.items() if y) / max(1, sum(sizes.values()))
+    pick = lambda y, n: known.where(F.col("_y") == y).where("not _last").orderBy(F.xxhash64("_id"), "_id").limit(n)
     ids = pick(1, most_toxic).union(pick(0, most_clean))  # a proven bound, so it may be broadcast
+    texts = docs.select("doc_id", "text", "lang")
+    lengths = texts.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "_y", F.xxhash64("_id").alias("_h"), "n")
+    total, taken = {0: 0, 1: 0}, []
+    for r in lengths.groupBy("_h", "_id", "_y").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).orderBy("_h", "_id", "_y").collect():
+        if total.get(r["_y"], 0) < most_bytes:
+            taken.append((r["_id"], r["_y"]))
+        total[r["_y"]] = total.get(r["_y"], 0) + r["n"]
 
     def run(rows):
         for held in batches(rows, most=2 << 20):
             buckets, first = word_buckets(held["text"])
-            yield pa.RecordBatch.from_arrays([pa.array(held["_id"], pa.int64()), pa.array(held["_y"], pa.int32()), pa.array(held["lang"], pa.string()), pa.array([buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "y", "lang", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(held["_id"], pa.int64()), pa.array(held["_y"], pa.int32()), pa.array([buckets[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "y", "b"])
 
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "_y", "lang", "text").mapInArrow(run, "id long, y int, lang string, b binary").toArrow()
-    rows = sorted(zip(sample["id"].to_pylist(), sample["y"].to_pylist(), (x or "" for x in sample["lang"].to_pylist()), sample["b"].to_pylist(), strict=True))
+    chosen = docs.sparkSession.createDataFrame(taken, "_id long, _y int")
+    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text").mapInArrow(run, "id long, y int, b binary").toArrow()
+    rows = sorted(zip(sample["id"].to_pylist(), sample["y"].to_pylist(), sample["b"].to_pylist(), strict=True))
     y = np.array([r[1] for r in rows], np.float64)
     if not (y == 1).any() or not (y == 0).any():
         return Model(None, share, {})
-    x = [np.frombuffer(r[3], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in rows]
-    lang = np.array([r[2] for r in rows])
-    test = np.arange(len(rows)) % 5 == 4 if len(rows) >= 500 else np.zeros(len(rows), bool)
-    net = train([d for d, t in zip(x, test, strict=True) if not t], y[~test])
-    check = np.flatnonzero(test) if test.any() else np.arange(len(rows))
-    weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
-    z = net.logit(np.array([net.pooled(x[i]) for i in check]))
-    net.scale, net.offset = fit_scale(z, y[check], weight[check])
+    net = train([np.frombuffer(r[2], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in rows], y)
+    last = known.where("_last").select(F.col("_id").cast("long"), "_y")
+    kept = texts.withColumn("_doc", F.col("doc_id").cast("long")).join(few_broadcast(last), F.col("_doc") == F.col("_id"))
+    binned = with_values(kept.select("_y", "lang", "text"), net.logits, "z").groupBy("_y", F.coalesce("lang", F.lit("")).alias("lang"), F.round(F.col("z") / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    seen = binned.orderBy("lang", "_y", "bin").toArrow()
+    y, n, z = (np.array(seen[c].to_pylist(), np.float64) for c in ("_y", "n", "bin"))
+    lang = np.array(seen["lang"].to_pylist())
+    z = z * BIN
+    if (y == 1).any() and (y == 0).any():
+        net.scale, net.offset = fit_scale(z, y, n)
     score = sigmoid(net.scale * z + net.offset)
-    cuts = {str(g): best_cut(score[lang[check] == g], y[check][lang[check] == g], weight[check][lang[check] == g]) for g in np.unique(lang[check])}
+    cuts = {str(g): best_cut(score[lang == g], y[lang == g], n[lang == g]) for g in np.unique(lang)}
     return Model(net, share, cuts)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, ``threshold`` (of its language) and ``toxic`` (score over threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_values(rows: DataFrame, function, name: str) -> DataFrame:
+    """``rows`` (text, ...) with ``name``: ``function`` of the texts, about 1 MB at a time. The last column of that name is the new one."""
+    shared = rows.sparkSession.sparkContext.broadcast(function)
 
     def run(rows):
-        model = shared.value
+        value = shared.value
         for batch in rows:
-            texts = batch.column("text").cast("binary")
-            score, at, size = [], 0, 0
+            texts = batch.column(batch.schema.names.index("text")).cast("binary")
+            found, at, size = [], 0, 0
             for i in range(batch.num_rows + 1):
                 if i == batch.num_rows or size > 1 << 20:
                     if i > at:
-                        score.append(model.scores(texts.slice(at, i - at).to_pylist()))
+                        found.append(value(texts.slice(at, i - at).to_pylist()))
                     at, size = i, 0
                 if i < batch.num_rows:
                     size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else np.zeros(0), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(name, "double"))
 
-    out = docs.mapInArrow(run, docs.drop("score").schema.add("score", "double"))
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score``, ``threshold`` (of its language) and ``toxic`` (score at or over threshold)."""
+    out = with_values(boxed(docs, text=docs["text"], lang=F.coalesce(docs["lang"], F.lit(""))), model.scores, "value")
     cuts = F.create_map(*[F.lit(v) for pair in model.cuts.items() for v in pair]) if model.cuts else None
-    threshold = F.coalesce(cuts[F.coalesce("lang", F.lit(""))], F.lit(CUT)) if cuts is not None else F.lit(CUT)
-    return out.withColumn("threshold", threshold).withColumn("toxic", F.col("score") >= F.col("threshold"))
+    threshold = F.coalesce(cuts[F.col("lang")], F.lit(CUT)) if cuts is not None else F.lit(CUT)
+    return unboxed(out, score=F.col("value"), threshold=threshold, toxic=F.col("value") >= threshold)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

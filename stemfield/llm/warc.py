@@ -2,7 +2,7 @@
 
 Reading: the driver lists the archives and plans one partition a file; record type and header predicates are
 pushed down (through ``pushFilters`` or the ``where`` option), each record's headers are parsed first, and the
-payload of a record that is not wanted is skipped over without copying or decoding it.
+payload of a record that is not wanted is skipped over: it is inflated as part of the archive's stream, but neither kept, decoded nor handed on.
 
 Nulls: a null payload is written as an empty one; a null URL writes no WARC-Target-URI and is read as null; a
 null page_id is the id ``null`` and counts as smaller than all others. Of repeated rows that share payload and
@@ -160,12 +160,13 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Writes ``record_id, warc_type, target_uri, warc_date, refers_to, payload_digest, payload_bytes, payload``.
 
-    A task writes archives of bounded size under names of its own, each record a gzip member; files of failed or
-    repeated attempts are deleted at the commit, which knows the names that count.
+    A task writes archives of bounded size under names of the job and its own, each record a gzip member; the job's files of failed or
+    repeated attempts are deleted at the commit, which knows the names that count. Archives of other writes stay, but in mode ``overwrite``.
     """
 
     def __init__(self, options: dict):
         self.path, self.most = options["path"], int(options.get("max_file_bytes", 256 << 20))
+        self.job, self.fresh = uuid.uuid4().hex, options.get("fresh", "false") == "true"
 
     def write(self, iterator):
         import zlib
@@ -178,7 +179,7 @@ class WarcWriter(DataSourceWriter):
                 if out is None or size > self.most:
                     if out is not None:
                         out.close()
-                    files.append(f"{path}/part-{uuid.uuid4().hex}.warc.gz")
+                    files.append(f"{path}/part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                     out, size = store.open_output_stream(files[-1], compression=None), 0
                 raw = record_bytes(row.warc_type, row.record_id, row.target_uri, row.warc_date, row.payload_digest, row.payload_bytes, bytes(row.payload) if row.payload is not None else None, row.refers_to)
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -194,7 +195,8 @@ class WarcWriter(DataSourceWriter):
         store, path = open_store(self.path)
         counted = {f for m in messages if m for f in m.files}
         for f in store.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
-            if f.path not in counted and f.path.endswith(".warc.gz"):
+            mine = f.path.rpartition("/")[2].startswith(f"part-{self.job}-")
+            if f.path not in counted and f.path.endswith(".warc.gz") and (mine or self.fresh):
                 store.delete_file(f.path)
 
     def abort(self, messages):
@@ -215,7 +217,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(dict(self.options) | {"fresh": str(overwrite).lower()})
 
 
 def read_warc(spark: SparkSession, path: str, where: dict[str, list] | None = None, payload: bool = True, verify: bool = False) -> DataFrame:
@@ -251,9 +253,10 @@ def base32(hexed, chars: int):
     return F.concat(*parts)
 
 
-def write_warc(records: DataFrame, path: str, max_file_bytes: int = 256 << 20) -> None:
+def write_warc(records: DataFrame, path: str, max_file_bytes: int = 256 << 20, mode: str = "append") -> None:
+    """Adds archives to the folder, or replaces those that are there (mode ``overwrite``)."""
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").option("max_file_bytes", max_file_bytes).mode("append").save(path)
+    records.write.format("warc").option("max_file_bytes", max_file_bytes).mode(mode).save(path)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

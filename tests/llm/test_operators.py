@@ -263,9 +263,9 @@ def test_bpe_equals_the_library():
     r = random.Random(2)
     alphabet = "aAbtheSs''''  \t\n\r\x0b\x1c\x1f\x85\xa0.,;!0129éÉßİıΣσς中文한ﾞ́e‍🙂²½ªŉǅ"
     texts = ["", "<|endoftext|> hi<|startoftext|>x <|ENDOFTEXT|>", "'S'T can't WE'LL", "a" * 3000, "İstanbul ΣΑΣ"] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(400)]
-    for text, (ids, tokens), ref in zip(texts, own.encode_all(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+    for text, ids, ref in zip(texts, own.encode_all(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, np.uint32).tolist() == ref.ids, text
-        assert " ".join(tokens) == own.decode(ids) == library.decode(ref.ids, skip_special_tokens=False)
+        assert own.decode(ids) == library.decode(ref.ids, skip_special_tokens=False)
 
 
 def test_bpe_rows(spark):
@@ -392,10 +392,10 @@ def test_mixing(spark):
     rows = language_rows(r, 60)
     docs = documents(spark, [t if i % 4 else "$$ " + t for i, (_, t) in enumerate(rows)] + [None], [x for x, _ in rows] + ["aa"])
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(len(rows)) if i % 2] + [(0, None)], "doc_id long, quality int")
-    mix = mixing.fit_mix(docs, labels, mixing.smoothed())
+    mix = mixing.fit_mix(docs, labels, mixing.smoothed(), keep=True)
     out = mixing.with_rates(mix.documents, mix)
     sums = out.agg(F.min("rate"), *[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[i]) for i in range(len(mix.targets))]).first()
     assert sums[0] >= 0 and mix.residual < 0.01
     assert list(sums[1:]) == pytest.approx(mix.targets, rel=0.02)
-    assert mixing.realised(docs, mix).columns == docs.columns
+    assert mixing.realised(mix).columns == docs.columns
     assert mixing.fit_mix(docs.limit(0), labels, mixing.smoothed()).documents.count() == 0
