@@ -154,18 +154,19 @@ def batches(rows, column: str = "text", most: int = 8 << 20, rows_most: int = 20
     """
     held: dict[str, list] = {}
     size = 0
-    for batch in rows:
-        names = batch.schema.names
+    for whole in rows:
+        names = whole.schema.names
         at = names.index(column)
-        texts = batch.column(at).cast("binary").to_pylist()
-        others = {n: batch.column(i).to_pylist() for i, n in enumerate(names) if i != at}
-        for i, t in enumerate(texts):
-            held.setdefault(column, []).append(t)
-            for n, values in others.items():
-                held.setdefault(n, []).append(values[i])
-            size += len(t) if t else 0
-            if size >= most or len(held[column]) >= rows_most:
-                yield held
-                held, size = {}, 0
+        for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
+            texts = batch.column(at).cast("binary").to_pylist()
+            others = {n: batch.column(i).to_pylist() for i, n in enumerate(names) if i != at}
+            for i, t in enumerate(texts):
+                held.setdefault(column, []).append(t)
+                for n, values in others.items():
+                    held.setdefault(n, []).append(values[i])
+                size += len(t) if t else 0
+                if size >= most or len(held[column]) >= rows_most:
+                    yield held
+                    held, size = {}, 0
     if held:
         yield held

@@ -13,6 +13,8 @@ Ties go to the first language in alphabetical order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -160,15 +162,15 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(rows):
+    @F.arrow_udf("language string, p double")
+    def run(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in rows:
-            got = [model.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "language", "p"])
+        for texts in rows:
+            got = [model.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["language", "p"])
 
-    rows = boxed(docs, text=docs["text"])
-    found = rows.mapInArrow(run, rows.select("row").schema.add("language", "string").add("p", "double"))
-    return unboxed(found, lang_pred=F.col("language"), score=F.col("p"))
+    found = boxed(docs, found=run.asNondeterministic()(docs["text"]))
+    return unboxed(found, lang_pred=F.col("found.language"), score=F.col("found.p"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ than one another, so identical rows keep or lose the same words. Further columns
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -193,27 +193,28 @@ def without_repeats(docs: DataFrame, k: int = 20, keep_clean: bool = True) -> Da
     removed and ``keep_clean``), ``n_words`` and ``n_removed``."""
     keyed = boxed(docs, doc=F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), h=F.xxhash64(docs["text"]).bitwiseAND(0xFFFFFFFF), text=docs["text"])
     found = late_windows(keyed, k).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    joined = keyed.drop("text").join(found, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left").select("row", F.col("row").getField("text").alias("text"), "starts", "counts")
-    schema = joined.select("row").schema.add("left", "string").add("size", "long").add("gone", "long")
-
-    def cut(rows):
-        for batch in rows:
-            for small in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512)):
-                kept, size, gone = [], [], []
-                for t, s, c in zip(small.column("text").to_pylist(), small.column("starts").to_pylist(), small.column("counts").to_pylist(), strict=True):
-                    words = (t or "").encode().split()
-                    size.append(len(words))
-                    if s:
-                        drop = covered(len(words), s, c, k)
-                        stay = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
-                        gone.append(len(words) - len(stay))
-                        kept.append(b" ".join(stay).decode())
-                    else:
-                        gone.append(0)
-                        kept.append((t or "") if keep_clean else b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([small.column("row"), pa.array(kept, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64())], ["row", "left", "size", "gone"])
-
-    return unboxed(joined.mapInArrow(cut, schema), kept=F.col("left"), n_words=F.col("size"), n_removed=F.col("gone"))
+    joined = keyed.drop("text").join(found, (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left").select("row", "starts", "counts")
+
+    @F.arrow_udf("left string, size long, gone long")
+    def cut(rows: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, starts, counts in rows:
+            kept, size, gone = [], [], []
+            for t, s, c in zip(texts, starts, counts, strict=True):
+                t = t.as_py()
+                words = (t or "").encode().split()
+                size.append(len(words))
+                if s.is_valid:
+                    drop = covered(len(words), s.as_py(), c.as_py(), k)
+                    stay = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
+                    gone.append(len(words) - len(stay))
+                    kept.append(b" ".join(stay).decode())
+                else:
+                    gone.append(0)
+                    kept.append(None if keep_clean else b" ".join(words).decode())
+            yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64())], ["left", "size", "gone"])
+
+    done = joined.select("row", cut.asNondeterministic()(F.col("row").getField("text"), "starts", "counts").alias("cut"))
+    return unboxed(done, kept=F.coalesce("cut.left", F.col("row").getField("text"), F.lit("")), n_words=F.col("cut.size"), n_removed=F.col("cut.gone"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

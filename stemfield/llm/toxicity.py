@@ -15,11 +15,12 @@ rows get equal scores, and a row whose id has several labels counts once for eac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import Words, batches, boxed, few_broadcast, held_out, mix, table, unboxed
 
@@ -265,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     net = train([np.frombuffer(r[2], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in rows], y)
     last = known.where("_last").select(F.col("_id").cast("long"), "_y")
     kept = texts.withColumn("_doc", F.col("doc_id").cast("long")).join(few_broadcast(last), F.col("_doc") == F.col("_id"))
-    binned = with_values(kept.select("_y", "lang", "text"), net.logits, "z").groupBy("_y", F.coalesce("lang", F.lit("")).alias("lang"), F.round(F.col("z") / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    binned = kept.select("_y", "lang", of_texts(docs.sparkSession, net.logits)("text").alias("z")).groupBy("_y", F.coalesce("lang", F.lit("")).alias("lang"), F.round(F.col("z") / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     seen = binned.orderBy("lang", "_y", "bin").toArrow()
     y, n, z = (np.array(seen[c].to_pylist(), np.float64) for c in ("_y", "n", "bin"))
     lang = np.array(seen["lang"].to_pylist())
@@ -277,30 +278,32 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     return Model(net, share, cuts)
 
 
-def with_values(rows: DataFrame, function, name: str) -> DataFrame:
-    """``rows`` (text, ...) with ``name``: ``function`` of the texts, about 1 MB at a time. The last column of that name is the new one."""
-    shared = rows.sparkSession.sparkContext.broadcast(function)
+def of_texts(spark: SparkSession, function):
+    """``function`` of texts as a column function, about 1 MB at a time. Only the texts go to Python, and only the values come back."""
+    shared = spark.sparkContext.broadcast(function)
 
-    def run(rows):
+    @F.arrow_udf("double")
+    def run(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         value = shared.value
-        for batch in rows:
-            texts = batch.column(batch.schema.names.index("text")).cast("binary")
+        for column in rows:
+            texts = column.cast("binary")
             found, at, size = [], 0, 0
-            for i in range(batch.num_rows + 1):
-                if i == batch.num_rows or size > 1 << 20:
+            for i in range(len(texts) + 1):
+                if i == len(texts) or size > 1 << 20:
                     if i > at:
                         found.append(value(texts.slice(at, i - at).to_pylist()))
                     at, size = i, 0
-                if i < batch.num_rows:
+                if i < len(texts):
                     size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], [*batch.schema.names, name])
+            yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(name, "double"))
+    return run.asNondeterministic()  # so that no filter is pushed below it, which would have it run twice
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, ``threshold`` (of its language) and ``toxic`` (score at or over threshold)."""
-    out = with_values(boxed(docs, text=docs["text"], lang=F.coalesce(docs["lang"], F.lit(""))), model.scores, "value")
+    score = of_texts(docs.sparkSession, model.scores)
+    out = boxed(docs, lang=F.coalesce(docs["lang"], F.lit("")), value=score(docs["text"]))
     cuts = F.create_map(*[F.lit(v) for pair in model.cuts.items() for v in pair]) if model.cuts else None
     threshold = F.coalesce(cuts[F.col("lang")], F.lit(CUT)) if cuts is not None else F.lit(CUT)
     return unboxed(out, score=F.col("value"), threshold=threshold, toxic=F.col("value") >= threshold)
