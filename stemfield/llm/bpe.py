@@ -184,21 +184,12 @@ class Codec:
         return " ".join(map(self.name.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
-
-
 def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, the last of the text decoded from the ids, and ``ids`` (array<int>) if asked for."""
 
     def run(rows):
         fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids
-        coder = codec(path)
+        coder = Codec(path)  # of the task: its words go with it
         for held in batches(rows, most=4 << 20):
             got = coder.encode_all([t.decode() if t else "" for t in held["text"]])
             cols = [held["doc_id"], [len(i) // 4 for i in got], [hashlib.sha256(i).hexdigest() for i in got], [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in got]]

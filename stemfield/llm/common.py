@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +150,27 @@ def unpack(blob: bytes) -> tuple[dict, list[bytes]]:
     return head, out
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on, and the next operator's memory comes on top."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def pieces(texts: list[bytes | None], most: int = 1 << 20):
+    """Ranges of the texts with about ``most`` bytes each."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= most or i - at >= 4096:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def batches(rows, column: str = "text", most: int = 8 << 20, rows_most: int = 20_000):
     """Regroup Arrow batches of ``(columns...)`` into lists of Python rows with at most about ``most`` bytes of text.
 
@@ -170,3 +194,5 @@ def batches(rows, column: str = "text", most: int = 8 << 20, rows_most: int = 20
                     held, size = {}, 0
     if held:
         yield held
+        held = {}
+    give_back()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import persist_table
-from .common import Words, batches, mix, pack, salted_min, table, total_bytes, unpack
+from .common import Words, batches, mix, pack, pieces, salted_min, table, total_bytes, unpack
 from .substring import run_hashes
 
 FRAGMENTS = 4
@@ -130,9 +130,10 @@ def described(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
 
     def run(rows):
         for held in batches(rows, most=4 << 20):
-            sets = Sets(held["text"], k)
-            least = [fewest(s, percent, buckets) for s in sets.sets]
-            yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64()), pa.array(least, pa.int32())], ["doc_id", "n_shingles", "cid", "least"])
+            for a, b in pieces(held["text"]):
+                sets = Sets(held["text"][a:b], k)
+                least = [fewest(s, percent, buckets) for s in sets.sets]
+                yield pa.RecordBatch.from_arrays([pa.array(held["doc_id"][a:b], pa.int64()), pa.array([len(s) for s in sets.sets], pa.int64()), pa.array(sets.ids(), pa.int64()), pa.array(least, pa.int32())], ["doc_id", "n_shingles", "cid", "least"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, least int")
 
@@ -152,10 +153,10 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
 
     def cut(rows):
         schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-        for held in batches(rows, most=12 << 20):
+        for held in batches(rows, most=8 << 20):
             known, parts = set(), []
-            for at in range(0, len(held["text"]), 512):
-                sets = Sets(held["text"][at : at + 512], k)
+            for a, b in pieces(held["text"]):
+                sets = Sets(held["text"][a:b], k)
                 for cid, s in zip(sets.ids(), sets.sets, strict=True):
                     if cid is not None and cid not in known:
                         known.add(cid)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, boxed, mix, pack, shingle_hashes, table, total_bytes, unboxed, unpack
+from .common import Words, batches, boxed, give_back, mix, pack, shingle_hashes, table, total_bytes, unboxed, unpack
 
 _LEAST = -(2**63)
 _LONGEST = 4096  # windows of one super-k-mer
@@ -212,6 +212,8 @@ def without_repeats(docs: DataFrame, k: int = 20, keep_clean: bool = True) -> Da
                     gone.append(0)
                     kept.append(None if keep_clean else b" ".join(words).decode())
             yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64())], ["left", "size", "gone"])
+            del kept, texts, starts, counts
+            give_back()
 
     done = joined.select("row", cut.asNondeterministic()(F.col("row").getField("text"), "starts", "counts").alias("cut"))
     return unboxed(done, kept=F.coalesce("cut.left", F.col("row").getField("text"), F.lit("")), n_words=F.col("cut.size"), n_removed=F.col("cut.gone"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, boxed, few_broadcast, held_out, mix, table, unboxed
+from .common import Words, batches, boxed, few_broadcast, give_back, held_out, mix, table, unboxed
 
 #: Bounds of the labelled sample: rows of each kind, and bytes of their texts (a row is taken while those before it are within).
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 3000, 5000, 24 << 20
@@ -296,6 +296,8 @@ def of_texts(spark: SparkSession, function):
                 if i < len(texts):
                     size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
             yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
+            del texts, column
+            give_back()
 
     return run.asNondeterministic()  # so that no filter is pushed below it, which would have it run twice
 
