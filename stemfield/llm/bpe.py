@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ _NOT_PLAIN = regex.compile("[^\\x09-\\x0d\\x20-\\x7e\\u00a0-\\u024f]")
 class Trie:
     """Encodings of words, with the last token of every prefix on the current path."""
 
-    def __init__(self, path: str, most_pairs: int = 300_000):
+    def __init__(self, path: str, most_pairs: int = 150_000):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -137,11 +138,8 @@ class Trie:
 class Codec:
     """Encoder and decoder of texts for one tokenizer file, with a bounded memory of words."""
 
-    def __init__(self, path: str, most_words: int = 200_000):
-        from tokenizers import Tokenizer
-
-        self.trie, self.most = Trie(path), most_words
-        self.library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer serve texts beyond plain Latin letters
+    def __init__(self, path: str, most_words: int = 120_000):
+        self.path, self.trie, self.most = path, Trie(path), most_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pieces = spec["pre_tokenizer"]["pretokenizers"]
@@ -151,6 +149,13 @@ class Codec:
         self.bytes_of: dict[str, bytes] = {}
         self.name = self.trie.token | {i: content for content, i in self.special.items()}
 
+    @cached_property
+    def library(self):
+        """The tokenizer itself: its normalizer and pre-tokenizer serve texts beyond plain Latin letters."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens. Plain texts by the tokenizer's own pattern, others by the library."""
         if _NOT_PLAIN.search(text) is None:
@@ -190,7 +195,7 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     def run(rows):
         fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids
         coder = Codec(path)  # of the task: its words go with it
-        for held in batches(rows, most=4 << 20):
+        for held in batches(rows, most=2 << 20):
             got = coder.encode_all([t.decode() if t else "" for t in held["text"]])
             cols = [held["doc_id"], [len(i) // 4 for i in got], [hashlib.sha256(i).hexdigest() for i in got], [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in got]]
             cols += [[np.frombuffer(i, np.int32) for i in got]] * keep_ids
