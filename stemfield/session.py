@@ -54,8 +54,16 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes in a batch of rows that goes to a Python worker. Spark's own default is 64 MB, of which the JVM and the worker hold several copies each.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context, so that they can import it from anywhere."""
+    """Make a session ready for the registered queries: send this package to the executors' Python workers, once for each context, so that
+    they can import it from anywhere, and bound Arrow batches by ``BATCH_BYTES`` where the session has no setting of its own."""
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     import shutil
     from pathlib import Path
 
