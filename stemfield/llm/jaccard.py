@@ -14,7 +14,7 @@ overlaps are summed per pair.
 *Large groups.* Only components are asked for, so the pairs of a group are never enumerated. Equal sets are one class from the start.
 Each set is counted against one leader, that of most of its signatures. Then the sets meet once more, by the rarest shingles of each
 (``prefixes``: the order is by the number of sets that have a shingle), and only those of different components, and of sizes that
-the places of the shingle allow, are paired: first with one leader again, then all that are left. Two sets of a link share a shingle
+the places of the shingle allow, are paired: first with a few leaders again, then all that are left. Two sets of a link share a shingle
 at places that allow their sizes, so no link between different components is lost.
 
 Nulls and empties: a text that is null or has no words has an empty set, is linked with nothing and is its own component. A null
@@ -38,6 +38,8 @@ from .common import Words, batches, mix, pack, pieces, salted_min, table, total_
 from .substring import run_hashes
 
 FRAGMENTS = 4
+#: Leaders that a set is counted against before all pairs that are left.
+LEADERS = 4
 #: A set that stands in very many pairs meets them under so many keys.
 SALTS = 64
 #: Up to so many ids (a few numbers each) may be broadcast, as they are counted first; more are joined by shuffle.
@@ -145,9 +147,9 @@ def bucket_count(docs: DataFrame, group_bytes: int = 32 << 20) -> int:
 
 
 def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """``sig, cid, many``: which sets have a signature (by its name) that another set has too, and about how many have it.
+    """``sig, cid``: which sets have a signature (by its name) that another set has too.
 
-    A map task that holds several sets of a signature knows that it is shared: it sends one of them to the bucket, with their number, and
+    A map task that holds several sets of a signature knows that it is shared: it sends one of them to the bucket, marked, and
     passes the others on as they are, spread over further buckets. So a signature of very many sets brings its bucket one entry a batch.
     """
 
@@ -173,10 +175,10 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
             head = np.ones(len(sig), bool)
             head[1:] = sig[1:] != sig[:-1]
             size = np.diff(np.append(np.flatnonzero(head), len(sig)))
-            many = np.repeat(size, size)
+            several = np.repeat(size > 1, size)
             out, waiting = [], 0
             for kind, own in enumerate((head, ~head)):
-                s, c, m = sig[own], cid[own], many[own]
+                s, c, m = sig[own], cid[own], several[own]
                 where = (s >> np.uint64(32)).astype(np.int64)
                 if kind:  # passed on as they are: spread by what they hold
                     where = buckets + (mix(s ^ c.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -185,7 +187,7 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
                 for i, lo in enumerate(edges):
                     rows_in = by[lo : edges[i + 1] if i + 1 < len(edges) else len(by)]
                     names = s[rows_in] if kind else s[rows_in].astype(np.uint32)
-                    blob = pack({"kind": kind}, names, np.diff(c[rows_in], prepend=0), np.minimum(m[rows_in], 255).astype(np.uint8))
+                    blob = pack({"kind": kind}, names, np.diff(c[rows_in], prepend=0), m[rows_in])
                     out.append({"bucket": int(where[rows_in[0]]), "blob": blob})
                     waiting += len(blob)
                     if waiting > 1 << 20:
@@ -198,9 +200,9 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
         parts, out = [], []
         for bucket, blob in zip(frame["bucket"], frame["blob"], strict=True):
             head, (s, c, m) = unpack(blob)
-            c, m = np.cumsum(np.frombuffer(c, np.int64)), np.frombuffer(m, np.uint8).astype(np.int32)
+            c, m = np.cumsum(np.frombuffer(c, np.int64)), np.frombuffer(m, bool)
             if head["kind"]:
-                out.append((np.frombuffer(s, np.int64), c, m))
+                out.append((np.frombuffer(s, np.int64), c))
             else:
                 parts.append((np.frombuffer(s, np.uint32), c, m))
         if parts:
@@ -209,16 +211,14 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, buckets: int) -> Da
             s, c, m = s[order], c[order], m[order]
             twice = np.zeros(len(s), bool)
             twice[1:] = (s[1:] == s[:-1]) & (c[1:] == c[:-1])  # equal sets of several batches
-            np.maximum.at(m, np.flatnonzero(~twice)[np.cumsum(~twice) - 1], m)
-            s, c, m = s[~twice], c[~twice], m[~twice]
             first = np.flatnonzero(np.diff(s.astype(np.int64), prepend=-1))
-            total = np.repeat(np.add.reduceat(m, first), np.diff(np.append(first, len(s))))
-            keep = total > 1
-            out.append((s[keep].astype(np.int64) | (int(bucket) << 32), c[keep], total[keep]))
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"sig": a, "cid": b, "many": c.astype(np.int32)})
+            size = np.diff(np.append(first, len(s)))
+            keep = np.repeat(np.logical_or.reduceat(m, first) | (np.add.reduceat(~twice, first) > 1), size) & ~twice
+            out.append((s[keep].astype(np.int64) | (int(bucket) << 32), c[keep]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"sig": a, "cid": b})
 
-    return docs.select("text").mapInArrow(cut, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "sig long, cid long, many int")
+    return docs.select("text").mapInArrow(cut, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "sig long, cid long")
 
 
 def limited(rows: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
@@ -385,12 +385,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     firsts = salted_min(rows.where("cid is not null and doc_id is not null"), "cid", "doc_id")
     same = persist_table(firsts.select("doc_id", "cid", F.col("_first").alias("rep"), F.col("n_shingles").alias("n"), "least").distinct(), "jaccard-same")
     shared = shared_signatures(docs.where("doc_id is not null"), k, percent, buckets)
-    held = shared.groupBy(F.col("cid").alias("_c")).agg(F.collect_set("sig").alias("sigs"), F.avg("many").alias("many"))
+    held = shared.groupBy(F.col("cid").alias("_c")).agg(F.collect_set("sig").alias("sigs"))
     # sets that share too few signatures with all others together link to none
     about = same.select("cid", "rep", "n", "least").distinct().join(held, F.col("cid") == F.col("_c")).where(F.size("sigs") >= F.col("least"))
-    near = persist_table(about.select("cid", "rep", "n", "sigs", (F.col("many") * F.size("sigs")).alias("weight")), "jaccard-near")
+    near = persist_table(about.select("cid", "rep", "n", "sigs"), "jaccard-near")
     # the leader of a signature is its set that shares most with others; a set's leader is the one of most of its signatures
-    named_by = near.select("cid", "n", F.struct("weight", "cid", "n").alias("w"), F.explode("sigs").alias("sig"))
+    each = near.select("cid", F.explode("sigs").alias("sig"))
+    common = each.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    weights = each.join(common, "sig").groupBy("cid").agg(F.sum("many").alias("weight"))
+    named_by = near.join(weights, "cid").select("cid", "n", F.struct("weight", "cid", "n").alias("w"), F.explode("sigs").alias("sig"))
     leads = named_by.groupBy("sig").agg(F.max("w").alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("sig", F.col("l.cid").alias("leader"), F.col("l.n").alias("size"))
     behind = named_by.join(leads, "sig").where(f"leader <> cid and 100 * least(n, size) >= {percent} * greatest(n, size)")
     stars = persist_table(behind.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("many")).groupBy("cid").agg(F.max(F.struct("many", "leader")).alias("l")).select("cid", F.col("l.leader").alias("leader")), "jaccard-stars")
@@ -401,18 +404,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = persist_table(with_leaders(frags, stars, percent), "jaccard-links")
     found = persist_table(connected_components(links, "a", "b"), "jaccard-components")
     meet = persist_table(prefixes(packed, near.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], percent), "jaccard-prefixes")
-    for last in (False, True):
+    for turn in ("central", "any", "all"):
         live = persist_table(meetings(meet, found, percent), "jaccard-open")
         if live.isEmpty():
             break
         place = ["e", "small", "large"]
-        if last:
+        if turn == "all":
             other = live.select(*place, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
             pairs = live.withColumnRenamed("cid", "a").join(other, place).where("a < b and c <> cb and nb = m").select("a", "b").distinct()
-        else:  # first each set with one leader only, that of most of its places
-            lead = live.groupBy(*place).agg(F.max(F.struct("most", "cid", "n", "c")).alias("l"))
+        else:  # first each set with few leaders only: those of most of its places, with few rare shingles before them, then some others
+            order = F.col("most") if turn == "central" else F.xxhash64("cid", "e")
+            lead = live.groupBy(*place).agg(F.max(F.struct(order.alias("order"), "cid", "n", "c")).alias("l"))
             tried = live.join(lead, place).where("c <> l.c and m = l.n").groupBy(F.col("l.cid").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("many"))
-            pairs = tried.groupBy("b").agg(F.max(F.struct("many", "a")).alias("l")).select("l.a", "b")
+            best = F.slice(F.sort_array(F.collect_list(F.struct("many", "a")), False), 1, LEADERS)
+            pairs = tried.groupBy("b").agg(best.alias("ls")).select(F.explode("ls.a").alias("a"), "b")
         more = persist_table(verified(persist_table(pairs, "jaccard-pairs"), frags, percent), "jaccard-links")
         if not more.isEmpty():
             links = links.union(more)
