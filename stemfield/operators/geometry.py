@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import grid_zmin, in_polygon, polygon_filter, statistical_filter, upward_conic_filter, voxel_component_filter
+from .neighbours import finite as finite_points
 from .neighbours import knn_join
 
 
@@ -101,7 +102,7 @@ def aboveground_height(points: DataFrame, ground: DataFrame, resolution: float,
     from it, for non-finite points and outside ``polygon``. Only cells that a point touches are interpolated."""
     if not resolution > 0:
         raise ValueError("the resolution must be positive")
-    box = ground.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.sum((F.isnan("x") | F.isnan("y") | F.isnan("z")).cast("int")).alias("bad")).first()
+    box = ground.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.sum((~finite_points(("x", "y", "z"))).cast("int")).alias("bad")).first()
     if box["n"] < 3 or box["bad"]:
         raise ValueError("the ground needs at least 3 points, all finite")
     def snapped(c: str) -> Column:

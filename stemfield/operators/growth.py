@@ -168,8 +168,8 @@ class Segment:
 
 
 def label_segments(adj: list[np.ndarray], xyz: np.ndarray, agh: np.ndarray, ceiling: float, hops: int = 2, angle: float = 80.0, ring_least: int = 3, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Segment and wave number of each vertex (0: none). Seeds are first the parts near the ground, largest first; once a segment is accepted
-    the vertices it left out at its rim, lowest first; then the lowest vertex that is free."""
+    """Segment and wave number of each vertex (0: none). Seeds are first the parts near the ground, largest first; until one is accepted, then the
+    vertices that any search so far left out at its rim, also one whose segment was too small, lowest first; where there are none, the lowest vertex that is free."""
     n = len(adj)
     segment, node = np.zeros(n, np.int64), np.zeros(n, np.int64)
     free = np.zeros(n, bool)
@@ -178,17 +178,19 @@ def label_segments(adj: list[np.ndarray], xyz: np.ndarray, agh: np.ndarray, ceil
     by_height = sorted(np.flatnonzero(free).tolist(), key=lambda v: (xyz[v, 2], v))
     lowest, rim, number, waves = 0, set(), 0, 0
     while True:
-        if number == 0 and (near := [v for v in np.flatnonzero(free).tolist() if agh[v] <= ceiling]):
-            clusters = parts_of(adj, near)
-        elif open_rim := sorted((v for v in rim if free[v]), key=lambda v: (xyz[v, 2], v)):
-            clusters = [[v] for v in open_rim]
-        else:
+        clusters = None
+        if number == 0:
+            if near := [v for v in np.flatnonzero(free).tolist() if agh[v] <= ceiling]:
+                clusters = parts_of(adj, near)
+        elif rim:
+            clusters = [[v] for v in sorted((v for v in rim if free[v]), key=lambda v: (xyz[v, 2], v))]
+            rim = set()
+        if not clusters:
             while lowest < len(by_height) and not free[by_height[lowest]]:
                 lowest += 1
             if lowest == len(by_height):
                 break
             clusters = [[by_height[lowest]]]
-        rim = set()
         for seeds in clusters:
             if not all(free[s] for s in seeds):
                 continue
@@ -200,7 +202,7 @@ def label_segments(adj: list[np.ndarray], xyz: np.ndarray, agh: np.ndarray, ceil
                 segment[own] = number
                 node[own] = [waves + w for w in grown.wave.values()]
                 waves += grown.number
-                rim.update(grown.rejected())
+            rim.update(grown.rejected())
     order = sorted(Counter(segment[segment > 0].tolist()).items(), key=lambda t: (-t[1], t[0]))
     rank = np.zeros(number + 1, np.int64)
     for i, (s, _) in enumerate(order, 1):

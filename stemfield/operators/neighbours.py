@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import persist_table
@@ -49,13 +49,20 @@ def neighbour_counts(points: DataFrame, radius: float) -> DataFrame:
     return points.select("pid").join(both, "pid", "left").select("pid", F.coalesce("n_neighbours", F.lit(0).cast("long")).alias("n_neighbours"))
 
 
+def finite(axes: tuple[str, ...]) -> Column:
+    """Whether a row has all its coordinates, none NaN or infinite."""
+    return reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")) for c in axes])
+
+
 def knn_join(queries: DataFrame, known: DataFrame, k: int, axes: tuple[str, ...] = ("x", "y", "z"), exclude_same: bool = False) -> DataFrame:
-    """``qid, pid, d2, rank``: the k nearest known points of every query, ties to the smaller pid; exact.
+    """``qid, pid, d2, rank``: the k nearest known points of every query, ties to the smaller pid; exact. Points and queries with a
+    null, NaN or infinite coordinate take no part.
 
     A search radius is guessed from the density; a query is done when k points lie within it, the others try again with the
-    doubled radius, until it spans everything.
+    doubled radius, until it spans everything. Only the queries that are left are copied to the cells around them, and a task keeps no more than k
+    points of a query.
     """
-    known = known.select("pid", *axes)
+    known, queries = known.select("pid", *axes).where(finite(axes)), queries.where(finite(axes))
     stats = known.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo{c}") for c in axes], *[F.max(c).alias(f"hi{c}") for c in axes]).first()
     reach = queries.agg(*[F.min(c).alias(f"lo{c}") for c in axes], *[F.max(c).alias(f"hi{c}") for c in axes]).first()
     empty = queries.sparkSession.createDataFrame([], "qid long, pid long, d2 double, rank int")
@@ -66,18 +73,20 @@ def knn_join(queries: DataFrame, known: DataFrame, k: int, axes: tuple[str, ...]
     used = [s for s in spans if s > 1e-12]
     radius = max((reduce(lambda a, b: a * b, used, 1.0) * (k + 1) / stats["n"]) ** (1 / max(1, len(used))), whole * 1e-6, 1e-12)
     rest, done = queries.select(F.col("pid").alias("qid"), *axes), []
+    nearest = Window.partitionBy("qid").orderBy("d2", "pid")
     while True:
-        last = radius >= whole
-        found = near_pairs(rest, known, radius, axes).where(F.sqrt("d2") <= radius)
+        last = not radius < whole
+        found = near_pairs(known, rest, radius, axes).where(F.sqrt("d2") <= radius).select(F.col("b.qid").alias("qid"), F.col("a.pid").alias("pid"), "d2")
         if exclude_same:
-            found = found.where(F.col("a.qid") != F.col("b.pid"))
-        best = found.groupBy(F.col("a.qid").alias("qid")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", F.col("b.pid").alias("pid")))), 1, k).alias("best"))
-        best = persist_table(best if last else best.where(F.size("best") >= k), "knn")
-        done.append(best)
+            found = found.where("qid <> pid")
+        best = persist_table(found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "knn")
         if last:
+            done.append(best)
             break
-        rest = persist_table(rest.join(best, "qid", "left_anti"), "knn-rest")
+        full = best.where(F.col("rank") == k).select("qid")
+        done.append(best.join(full, "qid", "left_semi"))
+        rest = persist_table(rest.join(full, "qid", "left_anti"), "knn-rest")
         if rest.isEmpty():
             break
         radius *= 2
-    return reduce(lambda a, b: a.unionAll(b), done).select("qid", F.posexplode("best").alias("at", "b")).select("qid", "b.pid", "b.d2", (F.col("at") + 1).alias("rank"))
+    return reduce(lambda a, b: a.unionAll(b), done).select("qid", "pid", "d2", "rank")

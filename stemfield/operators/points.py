@@ -42,7 +42,9 @@ def set_attribute(points: DataFrame, name: str, values: Column | DataFrame) -> D
         raise ValueError(f"{name} is a coordinate or the id")
     if isinstance(values, Column):
         return points.withColumn(name, values)
-    return points.drop(name).join(values.select("pid", name), "pid", "left")
+    if not points.join(values, "pid", "left_anti").isEmpty() or not values.groupBy("pid").count().where("count > 1").isEmpty():
+        raise ValueError(f"{name} needs one value for each point")
+    return points.drop(name).join(values.select("pid", name), "pid")
 
 
 def delete_attribute(points: DataFrame, name: str) -> DataFrame:

@@ -376,17 +376,17 @@ def _(s, d):
     return rounded(n.select("node_id", box[0][0].alias("xlo"), box[2][1].alias("zhi")))
 
 
-@query("aabbs_overlap", f"WITH {EMB_SQL} SELECT a.pid AS a, b.pid AS b FROM emb a JOIN emb b ON a.pid < b.pid AND a.pid < 60 AND b.pid < 60 AND abs(a.x - b.x) <= 0.1 AND abs(a.y - b.y) <= 0.1 AND abs(a.z - b.z) <= 0.1")
+@query("aabbs_overlap", f"WITH {EMB_SQL} SELECT a.pid AS a, b.pid AS b FROM emb a JOIN emb b ON a.pid < b.pid AND abs(a.x - b.x) <= 0.1 AND abs(a.y - b.y) <= 0.1 AND abs(a.z - b.z) <= 0.1")
 def _(s, d):
-    """All overlapping boxes; the SQL holds those of ids below 60 only."""
+    """All overlapping boxes."""
     p = emb(s, d).select("pid", "x", "y", "z")
     box = lambda q: [(F.col(f"{q}.{c}") - 0.05, F.col(f"{q}.{c}") + 0.05) for c in "xyz"]
     return nb.near_pairs(p, p, 0.1).where((F.col("a.pid") < F.col("b.pid")) & geo.aabbs_overlap(box("a"), box("b"))).select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b"))
 
 
-@query("cylinder_volume", f"WITH {NODE_SQL}, l AS (SELECT unnest(range(-40, 40)) AS k), g AS (SELECT (a.k + 0.5) * 0.01 AS x, (b.k + 0.5) * 0.01 AS y, (c.k + 0.5) * 0.01 AS z FROM l a, l b, l c), n AS (SELECT * FROM node WHERE nbs_id <= 3), i AS (SELECT DISTINCT nbs_id, x, y, z FROM n JOIN g ON abs(z) <= 0.075 AND x * x + y * y <= radius * radius) SELECT nbs_id, {ro('count(*) * 1e-6 AS volume')} FROM i GROUP BY nbs_id")
+@query("cylinder_volume", f"WITH {NODE_SQL}, l AS (SELECT (unnest(range(-40, 40)) + 0.5) * 0.01 AS v), m AS (SELECT nbs_id, max(radius) AS r FROM node GROUP BY nbs_id), c AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r FROM m) JOIN (SELECT a.v AS x, b.v AS y FROM l a, l b) ON x * x + y * y <= r * r GROUP BY r) SELECT nbs_id, {ro('n * (SELECT count(*) FROM l WHERE abs(v) <= 0.075) * 1e-6 AS volume')} FROM m JOIN c USING (r)")
 def _(s, d):
-    """Of every nbs_id; the SQL holds those up to 3 only."""
+    """Of every nbs_id. The cylinders of one are upright and about one axis, so the SQL takes the widest."""
     n = node(s, d).select("nbs_id", *[F.lit(v).alias(c) for c, v in (("cx", 0.0), ("cy", 0.0), ("cz", 0.0), ("dx", 0.0), ("dy", 0.0), ("dz", 1.0))], "radius", (F.col("h") / 2).alias("half"))
     return rounded(geo.voxel_volume(n, 0.01))
 

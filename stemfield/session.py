@@ -27,11 +27,13 @@ def build_session(app: str = "stemfield", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) a temporary folder of this machine is set.
+    Where the session names none, a temporary folder is set on a single machine (master ``local``); on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.sparkContext._jvm.System.getProperty("stemfield.shared.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="stemfield-")
         spark.sparkContext._jvm.System.setProperty("stemfield.shared.dir", named)
         spark.sparkContext.setCheckpointDir(named)
