@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, boxed, give_back, mix, pack, shingle_hashes, table, total_bytes, unboxed, unpack
+from .common import Words, batches, boxed, give_back, mix, pack, pieces, shingle_hashes, table, total_bytes, unboxed, unpack
 
 _LEAST = -(2**63)
 _LONGEST = 4096  # windows of one super-k-mer
@@ -122,21 +122,26 @@ def late_windows(docs: DataFrame, k: int, m: int = 3, group_bytes: int = 6 << 20
     def cut(rows):
         schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
         for held in batches(rows, most=6 << 20):
-            texts = [b" ".join(t.split()) if t else b"" for t in held["text"]]
-            words, text, at, n, least = super_kmers(texts, k, m)
-            if not len(at):
+            strings: list[bytes] = []
+            parts = []
+            for lo, hi in pieces(held["text"]):
+                words, text, at, n, least = super_kmers([b" ".join(t.split()) if t else b"" for t in held["text"][lo:hi]], k, m)
+                if len(at):
+                    strings += [words.buf[a:b] for a, b in zip(words.start[at].tolist(), words.end[at + n + k - 2].tolist(), strict=True)]
+                    parts.append((lo + text, at - words.first[text], (mix(least + np.uint64(1)) % np.uint64(groups)).astype(np.int64)))
+            if not parts:
                 continue
-            a, b = words.start[at].tolist(), words.end[at + n + k - 2].tolist()
-            start = at - words.first[text]
+            text, start, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts, words, at, n, least
             docs_of, h_of = np.array(held["doc"], np.int64), np.array(held["h"], np.int64)
-            bucket = (mix(least + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
+            held.clear()
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             out, waiting = [], 0
             for i, lo in enumerate(edges):
                 rows_in = order[lo : edges[i + 1] if i + 1 < len(edges) else len(order)]
                 number: dict[bytes, int] = {}
-                which = np.array([number.setdefault(words.buf[a[j] : b[j]], len(number)) for j in rows_in.tolist()], np.int32)
+                which = np.array([number.setdefault(strings[j], len(number)) for j in rows_in.tolist()], np.int32)
                 blob = pack({}, b"\n".join(number), which, docs_of[text[rows_in]], h_of[text[rows_in]].astype(np.uint32), start[rows_in].astype(np.int32), level=3)
                 out.append({"bucket": int(bucket[rows_in[0]]), "blob": blob})
                 waiting += len(blob)
@@ -175,7 +180,10 @@ def late_windows(docs: DataFrame, k: int, m: int = 3, group_bytes: int = 6 << 20
             got = spans(flags[which[i]])
             out.append((np.full(len(got), doc[i]), np.full(len(got), h[i]), np.array([start[i] + s for s, _ in got]), np.array([n for _, n in got])))
         d, hh, s, n = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-        return pd.DataFrame({"doc": d, "h": hh, "start": s.astype(np.int32), "n": n.astype(np.int32)})
+        got = pd.DataFrame({"doc": d, "h": hh, "start": s.astype(np.int32), "n": n.astype(np.int32)})
+        del strings, number, flags, out, which, doc, h, start
+        give_back()
+        return got
 
     return docs.select("doc", "h", "text").mapInArrow(cut, "bucket long, blob binary").groupBy("bucket").applyInPandas(settle, "doc long, h long, start int, n int")
 
