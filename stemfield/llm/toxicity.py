@@ -260,10 +260,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     chosen = docs.sparkSession.createDataFrame(taken, "_id long, _y int")
     sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text").mapInArrow(run, "id long, y int, b binary").toArrow()
     rows = sorted(zip(sample["id"].to_pylist(), sample["y"].to_pylist(), sample["b"].to_pylist(), strict=True))
+    del sample
     y = np.array([r[1] for r in rows], np.float64)
     if not (y == 1).any() or not (y == 0).any():
         return Model(None, share, {})
     net = train([np.frombuffer(r[2], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in rows], y)
+    del rows
+    give_back()  # the driver keeps the net, not the sample
     last = known.where("_last").select(F.col("_id").cast("long"), "_y")
     kept = texts.withColumn("_doc", F.col("doc_id").cast("long")).join(few_broadcast(last), F.col("_doc") == F.col("_id"))
     binned = kept.select("_y", "lang", of_texts(docs.sparkSession, net.logits)("text").alias("z")).groupBy("_y", F.coalesce("lang", F.lit("")).alias("lang"), F.round(F.col("z") / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
