@@ -92,7 +92,7 @@ def with_successor(docs: DataFrame, carried: list[str], rows_per_bucket: int = 2
     to = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("_serves").alias("b"), F.lit(1).alias("ghost"))), lambda x: x["b"].isNotNull())
     dealt = dealt.select("row", "rank", F.explode(to).alias("to")).select("row", "rank", "to.b", "to.ghost")
     w = Window.partitionBy("b").orderBy("ghost", "rank", F.xxhash64("row.text"))
-    followed = dealt.withColumn("after", F.lead(F.struct(*[F.col("row").getField(c).alias(c) for c in carried])).over(w)).where("ghost = 0")
+    followed = dealt.withColumn("after", F.lead("row").over(w)).where("ghost = 0")  # the row itself: an expression of it would be shuffled beside it
     return unboxed(followed, **{f"next_{c}": F.col("after").getField(c) for c in carried})
 
 
