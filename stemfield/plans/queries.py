@@ -1,7 +1,7 @@
 """Registered queries of the point-cloud operators and their SQL, over views of the driver's tables.
 
-P_emb: embeddings as points (first three components). P_evt: events as points. N_node: rows like fitted nodes, from lineitem. Doubles are
-rounded on both sides.
+P_emb: embeddings as points (first three components). P_evt: events as points. N_node: rows like fitted nodes, from lineitem. Ground of P_emb:
+its lowest points by cell. Doubles are rounded on both sides.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ EMB_SQL = "emb AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]
 EVT_SQL = "evt AS (SELECT event_id AS pid, user_id / 10.0::DOUBLE AS x, (date_diff('second', TIMESTAMP '1970-01-01', ts) % 3600) / 360.0::DOUBLE AS y, value / 50.0::DOUBLE AS z FROM events)"
 NODE_SQL = "node AS (SELECT l_partkey + 1 AS nbs_id, (l_partkey + 1) * 100 + l_quantity::INT AS node_id, l_partkey % 100 + 1 AS tree_id, l_quantity AS agh, 0.05 + max(l_discount) AS radius, count(*) AS n_points, 0.15::DOUBLE AS h FROM lineitem GROUP BY l_partkey, l_quantity)"
 EDGE_SQL = f"edge AS (SELECT a.pid AS src, b.pid AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS w FROM emb a JOIN emb b ON a.pid < b.pid WHERE w <= {R})"
+#: lowest points of P_emb by cell, as ``ground``
+LOW_SQL = "low AS (SELECT *, row_number() OVER (PARTITION BY floor(x * 16.0), floor(y * 16.0) ORDER BY z, pid) AS nth FROM emb), ground AS (SELECT pid, x, y, z FROM low WHERE nth = 1)"
 #: components by smallest label, over ``edge``
 CC_SQL = "both_ways AS (SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge), reach(pid, root) AS (SELECT pid, pid FROM emb UNION SELECT b.dst, r.root FROM reach r JOIN both_ways b ON b.src = r.pid WHERE r.root < b.dst), comp AS (SELECT pid, min(root) AS component FROM reach GROUP BY pid)"
 
@@ -53,6 +55,17 @@ def node(spark: SparkSession, d: str) -> DataFrame:
     return v.select(nbs.alias("nbs_id"), (nbs * 100 + F.col("l_quantity").cast("int")).alias("node_id"), (F.col("l_partkey") % 100 + 1).alias("tree_id"), F.col("l_quantity").alias("agh"), (F.col("m") + F.lit(0.05)).alias("radius"), "n_points", F.lit(0.15).alias("h"))
 
 
+def ground(points: DataFrame) -> DataFrame:
+    return flt.grid_zmin(points, 0.0625)
+
+
+def walk_sql(rows: str, pairs: str) -> str:
+    """``kept(pid)``: in ascending pid, the rows that no kept row of ``pairs`` (src, dst; src < dst) precedes."""
+    return f"""prior AS MATERIALIZED (SELECT {rows}.pid, row_number() OVER (ORDER BY {rows}.pid) AS i, coalesce(srcs, []) AS srcs FROM {rows} LEFT JOIN (SELECT dst, list(src) AS srcs FROM {pairs} GROUP BY dst) ON pid = dst),
+walk(i, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT p.i, CASE WHEN list_has_any(chosen, p.srcs) THEN chosen ELSE list_append(chosen, p.pid) END FROM walk JOIN prior p ON p.i = walk.i + 1),
+kept AS (SELECT unnest(chosen) AS pid FROM (SELECT chosen FROM walk ORDER BY i DESC LIMIT 1))"""
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded, NaN as null."""
     return df.select(*[F.round(F.nanvl(c, F.lit(None).cast("double")), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -214,7 +227,7 @@ def _(s, d):
     return flt.upward_conic_filter(emb(s, d), 60.0).select("pid")
 
 
-@query("distance_subsample")
+@query("distance_subsample", f"WITH RECURSIVE {EMB_SQL}, {EDGE_SQL}, near AS (SELECT src, dst FROM edge WHERE w < {R}), {walk_sql('emb', 'near')} SELECT pid FROM kept")
 def _(s, d):
     return flt.distance_subsample(emb(s, d), R).select("pid")
 
@@ -228,13 +241,10 @@ def _(s, d):
     return flt.connected_component_labels(emb(s, d), R, 2)
 
 
-_SUB = "sub AS (SELECT * FROM emb WHERE pid % 2 = 0)"
-
-
-@query("subset_components", f"WITH RECURSIVE {EMB_SQL.replace('emb AS', 'every AS')}, emb AS (SELECT * FROM every WHERE pid % 2 = 0), {EDGE_SQL}, {CC_SQL}, {_ranked('comp')}")
+@query("subset_components", f"WITH RECURSIVE {EMB_SQL.replace('emb AS', 'every AS')}, emb AS (SELECT * FROM every WHERE label < 5), {EDGE_SQL}, {CC_SQL}, {_ranked('comp')}")
 def _(s, d):
     p = emb(s, d)
-    return lab.subset_components(nb.radius_edges(p, R), p.where("pid % 2 = 0").select("pid"))
+    return lab.subset_components(nb.radius_edges(p, R), p.where("label < 5").select("pid"))
 
 
 @query("graph_components", f"WITH RECURSIVE {EMB_SQL}, {EDGE_SQL}, {CC_SQL}, {_ranked('comp')}")
@@ -243,10 +253,10 @@ def _(s, d):
     return lab.label_components(p, nb.radius_edges(p, R))
 
 
-@query("induced_graph", f"WITH {EMB_SQL}, {EDGE_SQL} SELECT src, dst, {ro('w')} FROM edge WHERE src % 2 = 0 AND dst % 2 = 0")
+@query("induced_graph", f"WITH {EMB_SQL}, {EDGE_SQL} SELECT src, dst, {ro('w')} FROM edge JOIN emb a ON a.pid = src JOIN emb b ON b.pid = dst WHERE a.label < 5 AND b.label < 5")
 def _(s, d):
     p = emb(s, d)
-    return rounded(gr.induced(nb.radius_edges(p, R), p.where("pid % 2 = 0")))
+    return rounded(gr.induced(nb.radius_edges(p, R), p.where("label < 5")))
 
 
 _VOX = "vox AS (SELECT floor(x * 10.0) AS cx, floor(y * 10.0) AS cy, floor(z * 10.0) AS cz, count(*) AS n, min(pid) AS pid FROM p GROUP BY ALL), edge AS (SELECT a.pid AS src, b.pid AS dst FROM vox a JOIN vox b ON a.pid <> b.pid AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1), reach(pid, root) AS (SELECT pid, pid FROM vox UNION SELECT e.dst, r.root FROM reach r JOIN edge e ON e.src = r.pid WHERE r.root < e.dst), comp AS (SELECT pid, min(root) AS component FROM reach GROUP BY pid), big AS (SELECT component FROM comp JOIN vox USING (pid) GROUP BY component HAVING sum(n) >= 50)"
@@ -272,7 +282,14 @@ def _(s, d):
     return gr.slice_labels(gr.shortest_paths(p, nb.radius_edges(p, R), 0), 0.1)
 
 
-@query("proto_nodes")
+_PROTO = f"""{_PATH}, sliced AS (SELECT emb.pid, floor(dist / 0.1) + 1 AS slice FROM emb JOIN path ON emb.pid = path.pid),
+same AS (SELECT src, dst FROM edge JOIN sliced a ON a.pid = src JOIN sliced b ON b.pid = dst WHERE a.slice % 2 = b.slice % 2), ways AS (SELECT src, dst FROM same UNION ALL SELECT dst, src FROM same),
+reach(pid, root) AS (SELECT pid, pid FROM sliced UNION SELECT w.dst, r.root FROM reach r JOIN ways w ON w.src = r.pid WHERE r.root < w.dst), comp AS (SELECT pid, min(root) AS component FROM reach GROUP BY pid),
+nth AS (SELECT component, slice, pid, row_number() OVER (PARTITION BY component ORDER BY slice, pid) AS k FROM comp JOIN sliced USING (pid)), num AS (SELECT component, row_number() OVER (ORDER BY slice, pid) AS proto FROM nth WHERE k = 1)
+SELECT emb.pid, coalesce(proto, 0)::INT AS proto FROM emb LEFT JOIN comp ON comp.pid = emb.pid LEFT JOIN num USING (component)"""
+
+
+@query("proto_nodes", _PROTO)
 def _(s, d):
     p = emb(s, d)
     return gr.proto_nodes(p, gr.slice_labels(gr.shortest_paths(p, nb.radius_edges(p, R), 0), 0.1), R)
@@ -313,25 +330,31 @@ def _(s, d):
     return lab.relabel_within_trees(node(s, d)).select("node_id", "tree_nbs_id")
 
 
-_IDW = "near AS (SELECT q.pid AS qid, k.z, sqrt((q.x-k.x)*(q.x-k.x)+(q.y-k.y)*(q.y-k.y)) AS dist, row_number() OVER (PARTITION BY q.pid ORDER BY (q.x-k.x)*(q.x-k.x)+(q.y-k.y)*(q.y-k.y), k.pid) AS r FROM emb q JOIN emb k ON q.pid % 3 = 0 AND k.pid % 3 <> 0)"
+_IDW = "near AS (SELECT q.pid AS qid, k.z, sqrt((q.x-k.x)*(q.x-k.x)+(q.y-k.y)*(q.y-k.y)) AS dist, row_number() OVER (PARTITION BY q.pid ORDER BY (q.x-k.x)*(q.x-k.x)+(q.y-k.y)*(q.y-k.y), k.pid) AS r FROM emb q, ground k)"
 
 
-@query("interpolate_idw", f"WITH {EMB_SQL}, {_IDW} SELECT qid AS pid, round(CASE WHEN min(dist) > 0.05 THEN NULL ELSE sum(z / dist**2) / sum(1 / dist**2) END, 6) AS z FROM near WHERE r <= 8 GROUP BY qid")
+@query("interpolate_idw", f"WITH {EMB_SQL}, {LOW_SQL}, {_IDW} SELECT qid AS pid, round(CASE WHEN min(dist) > 0.05 THEN NULL WHEN min(dist) <= 2.220446049250313e-16 THEN arg_min(z, dist) ELSE sum(z / dist**2) / sum(1 / dist**2) END, 6) AS z FROM near WHERE r <= 8 GROUP BY qid")
 def _(s, d):
     p = emb(s, d)
-    return rounded(geo.interpolate_idw(p.where("pid % 3 <> 0"), p.where("pid % 3 = 0"), max_distance=0.05))
+    return rounded(geo.interpolate_idw(ground(p), p, max_distance=0.05))
 
 
-@query("aboveground_height", f"""WITH {EMB_SQL}, g AS (SELECT * FROM emb WHERE pid % 5 = 0), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g),
+@query("aboveground_height", f"""WITH {EMB_SQL}, {LOW_SQL}, g AS (SELECT * FROM ground), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g),
 s AS (SELECT pid, x, y, z, least(greatest(floor((x - x0) / 0.05 + 0.5), 0), floor((x1 - x0) / 0.05)) * 0.05 + x0 AS gx, least(greatest(floor((y - y0) / 0.05 + 0.5), 0), floor((y1 - y0) / 0.05)) * 0.05 + y0 AS gy FROM emb, b),
 n AS (SELECT s.pid, s.z, (s.x-gx)*(s.x-gx)+(s.y-gy)*(s.y-gy) AS off, g.z AS gz, sqrt((gx-g.x)*(gx-g.x)+(gy-g.y)*(gy-g.y)) AS dist, row_number() OVER (PARTITION BY s.pid ORDER BY (gx-g.x)*(gx-g.x)+(gy-g.y)*(gy-g.y), g.pid) AS r FROM s, g)
 SELECT pid, round(CASE WHEN sqrt(min(off)) > sqrt(2) * 0.05 THEN NULL WHEN min(dist) <= 2.220446049250313e-16 THEN min(z) - arg_min(gz, dist) ELSE min(z) - sum(gz / dist**2) / sum(1 / dist**2) END, 6) AS "AGH" FROM n WHERE r <= 8 GROUP BY pid""")
 def _(s, d):
     p = emb(s, d)
-    return rounded(geo.aboveground_height(p, p.where("pid % 5 = 0"), 0.05).select("pid", "AGH"))
+    return rounded(geo.aboveground_height(p, ground(p), 0.05).select("pid", "AGH"))
+
 
+_GROUND = f"""WITH RECURSIVE {EVT_SQL.replace('evt AS', 'p AS')}, {_VOX.replace(' * 10.0', '')}, large AS (SELECT p.* FROM p JOIN vox v ON floor(p.x) = cx AND floor(p.y) = cy AND floor(p.z) = cz JOIN comp c ON c.pid = v.pid WHERE component IN (SELECT component FROM big)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY floor(x * 2.0), floor(y * 2.0) ORDER BY z, pid) AS nth FROM large), lowest AS MATERIALIZED (SELECT * FROM ranked WHERE nth = 1),
+cone AS MATERIALIZED (SELECT a.pid AS src, b.pid AS dst FROM lowest a JOIN lowest b ON b.z > a.z AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= least(b.z - a.z, 5) * tan(radians(60))), early AS (SELECT * FROM cone WHERE src < dst),
+{walk_sql('lowest', 'early')} SELECT pid FROM kept WHERE pid NOT IN (SELECT dst FROM cone WHERE src IN (SELECT pid FROM kept))"""
 
-@query("segment_ground")
+
+@query("segment_ground", _GROUND)
 def _(s, d):
     return geo.segment_ground(evt(s, d), voxel=1.0).select("pid")
 
@@ -339,13 +362,13 @@ def _(s, d):
 @query("crop_by_ground_polygon")
 def _(s, d):
     p = emb(s, d)
-    return geo.crop_by_ground_polygon(p, p.where("pid % 5 = 0"))[0].select("pid")
+    return geo.crop_by_ground_polygon(p, ground(p))[0].select("pid")
 
 
 @query("mesh_distance_z")
 def _(s, d):
     p = emb(s, d)
-    return rounded(geo.mesh_distance_z(p, geo.triangulation(p.where("pid % 5 = 0"))))
+    return rounded(geo.mesh_distance_z(p, geo.triangulation(ground(p))))
 
 
 @query("triangulation")
@@ -358,7 +381,12 @@ def _(s, d):
     return rounded(geo.pca_linearity(emb(s, d), "label").select("label", "n", "x", "y", "z"))
 
 
-@query("pca_linearity")
+_LINE = f"""WITH {EMB_SQL}, s AS (SELECT label, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, (xx + yy + zz) / 3 AS q FROM emb GROUP BY label HAVING count(*) >= 3),
+t AS (SELECT *, sqrt(((xx - q)**2 + (yy - q)**2 + (zz - q)**2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS w, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * w**3) AS r FROM s),
+v AS (SELECT *, q + 2 * w * cos(acos(greatest(least(r, 1), -1)) / 3) AS l3, q + 2 * w * cos((acos(greatest(least(r, 1), -1)) + 2 * pi()) / 3) AS l1 FROM t) SELECT label, n, {ro('(l3 - (3 * q - l3 - l1)) / l3 AS linearity')} FROM v"""
+
+
+@query("pca_linearity", _LINE)
 def _(s, d):
     return rounded(geo.pca_linearity(emb(s, d), "label").select("label", "n", "linearity"))
 
@@ -505,11 +533,11 @@ def _(s, d):
     return rounded(files.read_pc(s, path).select(F.col("row").alias("pid"), "x", "y", "intensity", "tag"), 4)
 
 
-@query("las_limits", f"WITH {EVT_SQL} SELECT pid FROM evt WHERE x > 30 AND y < 2")
+@query("las_limits", f"WITH {EVT_SQL} SELECT pid FROM evt WHERE x > 5 AND y < 2")
 def _(s, d):
     path = f"{new_path(s, 'las')}.las"
     files.write_pc(evt(s, d).withColumn("row", F.col("pid")), path)
-    return files.read_pc(s, path).where("x > 30.00001 and y < 1.99999").select(F.col("row").alias("pid"))
+    return files.read_pc(s, path).where("x > 5.00001 and y < 1.99999").select(F.col("row").alias("pid"))
 
 
 @query("las_metadata", f"WITH {EVT_SQL} SELECT count(*) AS point_count, {ro('min(x) AS xmin', 'max(y) AS ymax', places=4)} FROM evt")

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["grid_zmin", "rotate_z", "polygon_filter", "radius_graph", "statistical_filter", "connected_component_labels", "shortest_paths", "aboveground_height", "tree_table", "snap_plurality"])
+@pytest.mark.parametrize("name", ["grid_zmin", "rotate_z", "polygon_filter", "radius_graph", "statistical_filter", "connected_component_labels", "shortest_paths", "aboveground_height", "tree_table", "snap_plurality", "subset_components", "induced_graph", "interpolate_idw", "distance_subsample", "proto_nodes", "segment_ground", "pca_linearity", "las_limits"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
