@@ -444,3 +444,18 @@ def salted_group(edges: DataFrame, least: DataFrame, salts: int = SALTS) -> Data
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 3], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, g, n FROM g JOIN n USING (doc_id)),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT x, y FROM o WHERE 100 * k >= 90 * (n - k)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT b.y, r.root FROM reach r JOIN b ON b.x = r.doc_id WHERE r.root < b.y),
+c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""

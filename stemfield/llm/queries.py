@@ -21,5 +21,6 @@ SQL = {
     "op2_warc": warc.OP2_SQL,
     "op3_knn": knn.OP3_SQL,
     "op5_substring": substring.OP5_SQL,
+    "op9_jaccard": jaccard.OP9_SQL,
     "op10_fingerprints": merkle.OP10_SQL,
 }
