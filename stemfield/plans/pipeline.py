@@ -48,11 +48,12 @@ class Result:
     surface: DataFrame | None = None
 
 
-def preprocess(spark: SparkSession, cfg: Config) -> DataFrame:
+def preprocess(spark: SparkSession, cfg: Config) -> list[DataFrame]:
+    """The filtered cloud of each input file."""
     p, s = cfg.pipeline, cfg.statistical_filter
     clouds = [files.read_pc(spark, f, p.coordinate_precision.lower()) for f in files.find_input_files(p.input_path, p.input_prefix, p.input_format)]
     sor = (s.k_neighbors, s.n_sigma) if cfg.preprocess.enable_statistical_filter else None
-    return points.merge([filters.preprocess_filters(c, p.subsample_res if p.enable_subsample else None, sor) for c in clouds])
+    return [filters.preprocess_filters(c, p.subsample_res if p.enable_subsample else None, sor) for c in clouds]
 
 
 def ground_segmentation(cloud: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, float]:
@@ -68,24 +69,30 @@ def ground_segmentation(cloud: DataFrame, cfg: Config) -> tuple[DataFrame, DataF
 
 
 def run_pipeline(spark: SparkSession, cfg: Config) -> Result:
-    """Runs the enabled stages; the output of a stage that is switched off is read from an earlier run's folder."""
+    """Runs the enabled stages; the output of a stage that is switched off is read from an earlier run's folder. Several input files are
+    filtered and written each as a numbered scan, and go on merged; a later run takes the single output of a stage, or else its scans."""
     cfg.check()
     p, out = cfg.pipeline, Result()
     Path(p.output_dir).mkdir(parents=True, exist_ok=True)
-    path = lambda stem: files.output_path(p.output_dir, p.output_prefix, stem, "parquet")
+    path = lambda stem, scan=None: files.output_path(p.output_dir, p.output_prefix, stem, "parquet", scan)
 
-    def stored(df: DataFrame, stem: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path(stem))
-        return spark.read.parquet(path(stem))
+    def stored(df: DataFrame, stem: str, scan: int | None = None) -> DataFrame:
+        df.write.mode("overwrite").parquet(path(stem, scan))
+        return spark.read.parquet(path(stem, scan))
 
     def earlier(stem: str) -> DataFrame:
-        if not Path(path(stem)).exists():
-            raise ValueError(f"{path(stem)} is missing, and its stage is switched off")
-        return spark.read.parquet(path(stem))
+        if Path(path(stem)).exists():
+            return spark.read.parquet(path(stem))
+        scans = files.find_scan_outputs(p.output_dir, p.output_prefix, stem, "parquet")
+        if not scans:
+            raise ValueError(f"neither {path(stem)} nor numbered scans of it exist, and its stage is switched off")
+        return points.merge([spark.read.parquet(f) for f in scans])
 
     if p.enable_preprocess:
         with timed("preprocess", out.summary):
-            out.preprocessed = stored(preprocess(spark, cfg), "_preprocessed")
+            clouds = preprocess(spark, cfg)
+            scans = [stored(c, "_preprocessed", i if len(clouds) > 1 else None) for i, c in enumerate(clouds, 1)]
+            out.preprocessed = points.merge(scans)
             out.summary["n_points"] = out.preprocessed.count()
     if p.enable_ground_segmentation:
         with timed("ground", out.summary):

@@ -1,6 +1,7 @@
 import pytest
 
 from stemfield.config import load_config
+from stemfield.plans.pipeline import run_pipeline
 from stemfield.sources import files, las
 
 
@@ -49,3 +50,18 @@ def test_config():
         load_config(text="[pipeline]\nno_such_key = 1\n")
     with pytest.raises(ValueError):
         load_config(text="").check()
+
+
+def test_scans_of_several_files(spark, tmp_path):
+    """Each file is filtered for itself and written as a numbered scan; a later run merges the scans, its missing input is an error."""
+    grid = "id pid", "id % 20 * 0.3 x", "floor(id / 20) * 0.3 y", "0.01 * (id % 3) z"
+    for name, shift in (("a", 0), ("b", 6)):
+        files.write_pc(spark.range(400).selectExpr(*grid).selectExpr("pid", f"x + {shift} x", "y", "z"), str(tmp_path / "in" / f"{name}.las"))
+    only = lambda stage, out: load_config(text=f'[pipeline]\ninput_path = "{tmp_path}/in"\ninput_format = "las"\noutput_dir = "{tmp_path}/{out}"\noutput_prefix = "p"\n' + "".join(f"enable_{s} = {str(s == stage).lower()}\n" for s in ("preprocess", "ground_segmentation", "tree_segmentation", "qsm", "subsample", "agh", "generate_report")) + "[preprocess]\nenable_statistical_filter = false\n[segment_ground]\nenable_ground_crop = false\n")
+    first = run_pipeline(spark, only("preprocess", "out"))
+    assert first.summary["n_points"] == 800 and first.preprocessed.select("pid").distinct().count() == 800
+    assert [f.rsplit("/", 1)[1] for f in files.find_scan_outputs(str(tmp_path / "out"), "p", "_preprocessed", "parquet")] == ["p_preprocessed_S1.parquet", "p_preprocessed_S2.parquet"]
+    second = run_pipeline(spark, only("ground_segmentation", "out"))
+    assert second.heights.count() == 800 and second.summary["n_ground"] > 100
+    with pytest.raises(ValueError, match="switched off"):
+        run_pipeline(spark, only("ground_segmentation", "none"))
