@@ -399,3 +399,14 @@ def test_mixing(spark):
     assert list(sums[1:]) == pytest.approx(mix.targets, rel=0.02)
     assert mixing.realised(mix).columns == docs.columns
     assert mixing.fit_mix(docs.limit(0), labels, mixing.smoothed()).documents.count() == 0
+
+
+def test_jaccard_equals_its_sql(spark, corpus):
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(corpus)), pa.int64()), "text": pa.array(corpus, pa.string())}))
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(documents(spark, corpus), 3, 90).collect()}
+    assert got == set(con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({jaccard.OP9_SQL})").fetchall())
+    assert any(c < d for d, _, c in got)
