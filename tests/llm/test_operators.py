@@ -268,6 +268,43 @@ def test_bpe_equals_the_library():
         assert own.decode(ids) == library.decode(ref.ids, skip_special_tokens=False)
 
 
+def test_bpe_does_no_work_twice():
+    """Words last used the longest ago make room first, and the vocabulary is not searched again for what a state has found."""
+    coder, calls = bpe.Codec(bpe.vocabulary(), most_words=30), []
+    first, second, third = (" ".join(f"{c}{d}x" for d in "abcdefghijklmno"[:n]) for c, n in (("s", 10), ("t", 15), ("u", 10)))
+    coder.encode_all([first])
+    known = coder.encode_all([second]) + coder.encode_all([third])
+    encode = coder.trie.encode
+    coder.trie.encode = lambda word: calls.append(word) or encode(word)
+    again = coder.encode_all([second, third])
+    assert calls == [] and again == known and len(coder.bytes_of) <= 30
+
+    class Searched(dict):
+        found = 0
+
+        def __contains__(self, token):
+            self.found += 1
+            return super().__contains__(token)
+
+    trie = bpe.Trie(bpe.vocabulary())
+    before = trie.encode("internationally"), trie.encode("a")
+    trie.ids = Searched(trie.ids)
+    assert (trie.encode("internationally"), trie.encode("a")) == before and trie.ids.found == 0
+
+
+def test_bpe_with_small_memories_and_without_runs():
+    from tokenizers import Tokenizer
+
+    path, r = bpe.vocabulary(), random.Random(5)
+    library, small, whole = Tokenizer.from_file(path), bpe.Codec(path, most_words=20), bpe.Codec(path)
+    small.trie.most_pairs, whole.by_space = 20, False
+    for _ in range(5):
+        texts = ["".join(r.choice("aAbtheSs'',.!! \t\n\xa0012éÉßİªº½ŉǅ中文") for _ in range(r.randint(0, 60))) for _ in range(60)]
+        ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        for coder in (small, whole):
+            assert [np.frombuffer(i, np.uint32).tolist() for i in coder.encode_all(texts)] == ids
+
+
 def test_bpe_rows(spark):
     docs = documents(spark, [None, "", "Hello, world", "Hello, world"])
     rows = sorted(bpe.encoded(docs, bpe.vocabulary()).collect(), key=lambda r: r.doc_id)
