@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, table
+from .common import batches, give_back, table
 
 #: The 256 printable stand-ins of byte-level BPE, from the rule that printable Latin-1 stands for itself.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -230,14 +230,12 @@ class Codec:
         for kind, words in (part for parts in cut for part in parts):
             held[kind].update(words)
         inner = {run: self.inner(run) for run in held["runs"] if not run.isalpha()}  # letters alone are one pre-token
-        single = held["runs"] - inner.keys()
+        single = held["runs"]
+        single.difference_update(inner)
         self.learn(held["words"].union(single, *inner.values()))
         ids_of = self.bytes_of.__getitem__
-        of = {
-            "special": {w: struct.pack("<I", self.special[w]) for w in held["special"]},
-            "words": self.bytes_of,
-            "runs": dict(zip(single, map(ids_of, single), strict=True)) | {run: b"".join(map(ids_of, words)) for run, words in inner.items()},
-        }
+        of = {"special": {w: struct.pack("<I", self.special[w]) for w in held["special"]}, "words": self.bytes_of, "runs": dict(zip(single, map(ids_of, single), strict=True))}
+        of["runs"].update((run, b"".join(map(ids_of, words))) for run, words in inner.items())
         return [b"".join([b"".join(map(of[kind].__getitem__, words)) for kind, words in parts]) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
@@ -256,6 +254,8 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             cols = [held["doc_id"], [len(i) // 4 for i in got], [hashlib.sha256(i).hexdigest() for i in got], [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in got]]
             cols += [[np.frombuffer(i, np.int32) for i in got]] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+        coder = held = got = cols = None  # states refer to each other, so only a collection frees them
+        give_back()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
