@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_table
 from .filters import grid_zmin, in_polygon, polygon_filter, statistical_filter, upward_conic_filter, voxel_component_filter
 from .neighbours import finite as finite_points
 from .neighbours import knn_join
@@ -248,16 +249,40 @@ def cylinder_box(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (c[:, :3] - reach).min(0), (c[:, :3] + reach).max(0)
 
 
+def lattice_volume(cylinders: np.ndarray, res: float, most: int = 1_000_000) -> float:
+    """Volume of the lattice centres in the union of the cylinders; slabs of the box are tried one after the other."""
+    low, high = cylinder_box(cylinders)
+    first, last = math.ceil(low[0] / res - 0.5 - 1e-9), math.floor(high[0] / res - 0.5 + 1e-9)
+    thick = max(1, int(most / max(1.0, np.prod((high[1:] - low[1:]) / res + 1))))
+    found = 0
+    for k in range(first, last + 1, thick):
+        low[0], high[0] = (k + 0.5) * res, (min(k + thick - 1, last) + 0.5) * res
+        found += int(lattice_inside(cylinders, low, high, res).sum())
+    return found * res**3
+
+
 def voxel_volume(cylinders: DataFrame, res: float, key: str = "nbs_id") -> DataFrame:
-    """``key, volume``: lattice centres in the union of the cylinders (cx cy cz dx dy dz radius half) of each key, times res cubed."""
+    """``key, volume``: lattice centres in the union of the cylinders (cx cy cz dx dy dz radius half) of each key, times res cubed.
+
+    Of cylinders about one centre and axis, those that another of them contains are left out. Each set of cylinders is measured once,
+    however many keys have it. Cylinders whose radius or half height is not positive and finite hold nothing.
+    """
     if not res > 0:
         raise ValueError("the resolution must be positive")
+    place = ["cx", "cy", "cz", "dx", "dy", "dz"]
+    solid = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.abs(c) < math.inf) for c in [*place, "radius", "half"]]) & (F.col("radius") > 0) & (F.col("half") > 0)
+    own = cylinders.select(key, *[F.when(solid, F.col(c).cast("double")).alias(c) for c in [*place, "radius", "half"]])
+    own = own.groupBy(key, *place, "half").agg(F.max("radius").alias("radius")).groupBy(key, *place, "radius").agg(F.max("half").alias("half"))
+    each = F.when(F.col("radius").isNotNull(), F.array(*[F.col(c) for c in [*place, "radius", "half"]]))
+    own = persist_table(own.groupBy(key).agg(F.array_sort(F.collect_set(each)).alias("_set")), "cylinder-sets")
 
-    def run(k, frame: pd.DataFrame) -> pd.DataFrame:
-        c = frame[["cx", "cy", "cz", "dx", "dy", "dz", "radius", "half"]].to_numpy(float)
-        return pd.DataFrame({key: [k[0]], "volume": [float(lattice_inside(c, *cylinder_box(c), res).sum()) * res**3]})
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"_set": f["_set"], "volume": [lattice_volume(np.stack([np.asarray(c, float) for c in s]), res) if len(s) else 0.0 for s in f["_set"]]})
 
-    return cylinders.select(key, "cx", "cy", "cz", "dx", "dy", "dz", "radius", "half").groupBy(key).applyInPandas(run, f"{key} long, volume double")
+    context = cylinders.sparkSession.sparkContext
+    volumes = own.select("_set").distinct().repartition(2 * context.defaultParallelism).mapInPandas(run, "_set array<array<double>>, volume double")
+    return own.join(volumes, "_set").select(F.col(key).cast("long").alias(key), "volume")
 
 
 def frustum(r1: Column, r2: Column, h: Column) -> tuple[Column, Column]:
