@@ -51,7 +51,11 @@ def ranked(groups: DataFrame, key: str, min_size: int = 1) -> DataFrame:
 
 def label_components(vertices: DataFrame, edges: DataFrame, min_size: int = 1) -> DataFrame:
     """``pid, label`` of all vertices; isolated ones are components of one."""
-    found = vertices.select("pid").join(components(edges), F.col("pid") == F.col("node"), "left").select("pid", F.coalesce("component", "pid").alias("component"))
+    return label_found(vertices.select("pid").join(components(edges), F.col("pid") == F.col("node"), "left").select("pid", F.coalesce("component", "pid").alias("component")), min_size)
+
+
+def label_found(found: DataFrame, min_size: int = 1) -> DataFrame:
+    """``pid, label`` of components that are known as ``pid, component``."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return found.join(ranked(sizes, "component", min_size), "component").select("pid", "label")
 

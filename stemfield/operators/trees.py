@@ -16,8 +16,9 @@ from ..session import persist_table
 from . import growth, slices
 from .filters import above_threshold
 from .geometry import cylinder_box, lattice_inside
-from .labels import components, relabel_by_occurrence, relabel_within_trees
-from .neighbours import near_pairs, radius_edges
+from .labels import relabel_by_occurrence, relabel_within_trees
+from .neighbours import near_pairs
+from .tiles import radius_components
 
 NODE_COLS = ["agh", "height", "completeness", "n_points", "center_x", "center_y", "center_z", "direction_x", "direction_y", "direction_z", "cross_area", "circumference", "radius_area", "radius_circ"]
 NODE_SCHEMA = ", ".join(f"{c} {'long' if c == 'n_points' else 'double'}" for c in NODE_COLS)
@@ -33,8 +34,8 @@ def radius_of(cfg: Config) -> float:
 
 def with_components(points: DataFrame, radius: float) -> DataFrame:
     """``points`` with ``cc``, the smallest pid of the component."""
-    found = components(radius_edges(points, radius, weights=False))
-    return points.join(found, F.col("pid") == F.col("node"), "left").withColumn("cc", F.coalesce("component", "pid")).drop("node", "component")
+    found = radius_components(points, radius).select(F.col("pid").alias("_p"), F.col("component").alias("cc"))
+    return points.join(found, F.col("pid") == F.col("_p"), "left").withColumn("cc", F.coalesce("cc", "pid")).drop("_p")
 
 
 def global_ids(rows: DataFrame, group: str, local: str, out: str) -> DataFrame:

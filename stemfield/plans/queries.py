@@ -19,7 +19,7 @@ from ..operators import graph as gr
 from ..operators import labels as lab
 from ..operators import neighbours as nb
 from ..operators import points as pts
-from ..operators import trees, unroll
+from ..operators import tiles, trees, unroll
 from ..session import new_path
 from ..sources import files
 
@@ -244,13 +244,13 @@ def _(s, d):
 @query("subset_components", f"WITH RECURSIVE {EMB_SQL.replace('emb AS', 'every AS')}, emb AS (SELECT * FROM every WHERE label < 5), {EDGE_SQL}, {CC_SQL}, {_ranked('comp')}")
 def _(s, d):
     p = emb(s, d)
-    return lab.subset_components(nb.radius_edges(p, R), p.where("label < 5").select("pid"))
+    return flt.connected_component_labels(p.where("label < 5"), R)
 
 
 @query("graph_components", f"WITH RECURSIVE {EMB_SQL}, {EDGE_SQL}, {CC_SQL}, {_ranked('comp')}")
 def _(s, d):
     p = emb(s, d)
-    return lab.label_components(p, nb.radius_edges(p, R))
+    return lab.label_found(tiles.radius_components(p, R))
 
 
 @query("induced_graph", f"WITH {EMB_SQL}, {EDGE_SQL} SELECT src, dst, {ro('w')} FROM edge JOIN emb a ON a.pid = src JOIN emb b ON b.pid = dst WHERE a.label < 5 AND b.label < 5")

@@ -21,3 +21,42 @@ def test_each_set_of_cylinders_is_measured_once(spark):
     solid = np.array([(*a, 0.2, 0.1), (*a, 0.1, 0.3), (*b, 0.05, 0.4)])
     want = geometry.lattice_inside(solid, *geometry.cylinder_box(solid), 0.02).sum() * 0.02**3
     assert got == pytest.approx({1: want, 2: want, 3: 0.0}) and geometry.lattice_volume(solid, 0.02, most=50) == pytest.approx(want)
+
+
+def clumps(n=400, seed=3):
+    """Dense and thin parts, points on cell borders, two alike and a far one."""
+    r = np.random.default_rng(seed)
+    return np.concatenate([r.normal(0, 0.12, (n, 3)), r.normal(0.8, 0.3, (n // 2, 3)), np.array([[i * 0.08, 2, 2] for i in range(30)]), [[5, 5, 5], [5, 5, 5], [-40, 3, 9]]])
+
+
+def plain_components(xyz, radius):
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)) <= radius
+    node, root = labels.union_find(*np.nonzero(d))
+    return dict(zip(node.tolist(), root.tolist(), strict=True))
+
+
+def test_components_by_tiles(spark, monkeypatch):
+    """Small tiles, without a list of edges; a point that is nowhere stays alone."""
+    from stemfield.operators import tiles
+
+    xyz = clumps()
+    want = plain_components(xyz, 0.08)
+    monkeypatch.setattr(tiles, "tile_width", lambda *_: 6)
+    monkeypatch.setattr(neighbours, "radius_edges", lambda *a, **b: pytest.fail("edges were listed"))
+    got = {r.pid: r.component for r in tiles.radius_components(cloud(spark, np.concatenate([xyz, [[math.nan, 0, 0]]])), 0.08).collect()}
+    assert got == want | {len(xyz): len(xyz)}
+
+
+def test_paths_by_tiles(spark, monkeypatch):
+    from stemfield.operators import tiles
+
+    xyz = clumps()
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    src, dst = np.nonzero((d <= 0.08) & (np.arange(len(xyz))[:, None] < np.arange(len(xyz))[None]))
+    want, _ = graph.dijkstra(len(xyz), src, dst, d[src, dst], 0)
+    monkeypatch.setattr(tiles, "tile_width", lambda *_: 6)
+    got = tiles.radius_paths(cloud(spark, xyz), 0.08, 0).collect()
+    assert np.array([r.distance for r in sorted(got)]) == pytest.approx(want, abs=1e-9)
+    for r in got:
+        assert (r.parent is None) == (r.pid == 0 or math.isinf(r.distance))
+        assert r.parent is None or want[r.parent] + d[r.parent, r.pid] == pytest.approx(r.distance, abs=1e-9)
