@@ -273,13 +273,13 @@ _PATH = f"WITH RECURSIVE {EMB_SQL}, {EDGE_SQL}, arc AS (SELECT src, dst, w FROM
 @query("shortest_paths", f"{_PATH} SELECT pid, {ro('dist AS distance')} FROM path")
 def _(s, d):
     p = emb(s, d)
-    return rounded(gr.shortest_paths(p, nb.radius_edges(p, R), 0).where("distance < double('infinity')").select("pid", "distance"))
+    return rounded(tiles.radius_paths(p, R, 0).where("distance < double('infinity')").select("pid", "distance"))
 
 
 @query("slice_labels", f"{_PATH} SELECT emb.pid, coalesce(floor(dist / 0.1) + 1, 0)::INT AS slice FROM emb LEFT JOIN path ON emb.pid = path.pid")
 def _(s, d):
     p = emb(s, d)
-    return gr.slice_labels(gr.shortest_paths(p, nb.radius_edges(p, R), 0), 0.1)
+    return gr.slice_labels(tiles.radius_paths(p, R, 0), 0.1)
 
 
 _PROTO = f"""{_PATH}, sliced AS (SELECT emb.pid, floor(dist / 0.1) + 1 AS slice FROM emb JOIN path ON emb.pid = path.pid),
@@ -292,7 +292,7 @@ SELECT emb.pid, coalesce(proto, 0)::INT AS proto FROM emb LEFT JOIN comp ON comp
 @query("proto_nodes", _PROTO)
 def _(s, d):
     p = emb(s, d)
-    return gr.proto_nodes(p, gr.slice_labels(gr.shortest_paths(p, nb.radius_edges(p, R), 0), 0.1), R)
+    return gr.proto_nodes(p, gr.slice_labels(tiles.radius_paths(p, R, 0), 0.1), R)
 
 
 @query("longest_linear_path")
