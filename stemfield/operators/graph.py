@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .labels import LOCAL_EDGES, label_components, ranked, union_find
-from .neighbours import radius_edges
+from .labels import LOCAL_EDGES, label_components, label_found, ranked, union_find
+from .tiles import radius_components
 
 #: Largest turn of a linear path, in degrees.
 TURN_LIMIT = 60.0
@@ -100,10 +100,8 @@ def proto_nodes(points: DataFrame, slices: DataFrame, max_distance: float, min_s
     """``pid, proto``: components of the odd slices and of the even slices, numbered by their first slice and, in it, by first pid."""
     own = points.join(slices.where("slice > 0"), "pid").withColumn("parity", F.col("slice") % 2)
     own = persist_table(own.select("pid", "x", "y", "z", "slice", "parity"), "sliced")
-    edges = radius_edges(own, max_distance, weights=False)
-    side = own.select(F.col("pid").alias("_p"), F.col("parity").alias("_q"))
-    same = edges.join(side.toDF("src", "a"), "src").join(side.toDF("dst", "b"), "dst").where("a = b").select("src", "dst")
-    labelled = label_components(own, same, min_size).where("label > 0").join(own.select("pid", "slice"), "pid")
+    odd, even = (radius_components(own.where(F.col("parity") == p), max_distance) for p in (1, 0))
+    labelled = label_found(odd.unionAll(even), min_size).where("label > 0").join(own.select("pid", "slice"), "pid")
     order = labelled.groupBy("label").agg(F.min(F.struct("slice", "pid")).alias("at"))
     number = order.select("label", F.row_number().over(Window.orderBy("at.slice", "at.pid")).alias("proto"))
     return points.select("pid").join(labelled.join(number, "label").select("pid", "proto"), "pid", "left").select("pid", F.coalesce("proto", F.lit(0)).alias("proto"))
