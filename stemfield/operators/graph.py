@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import persist_table
+from .grid import Grid
 from .labels import LOCAL_EDGES, label_components, label_found, ranked, union_find
+from .neighbours import finite, near_pairs
 from .tiles import radius_components
 
 #: Largest turn of a linear path, in degrees.
@@ -115,7 +117,33 @@ def quotient_graph(points: DataFrame, edges: DataFrame, labels: DataFrame) -> tu
     crossing = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").where("lsrc <> ldst")
     forward = F.col("lsrc") < F.col("ldst")
     signed = crossing.select(F.least("lsrc", "ldst").alias("la"), F.greatest("lsrc", "ldst").alias("lb"), *[(F.when(forward, 1.0).otherwise(-1.0) * (F.col(f"{c}dst") - F.col(f"{c}src"))).alias(c) for c in "xyz"])
-    return nodes, signed.groupBy("la", "lb").agg(*[F.median(c).alias(f"v{c}") for c in "xyz"])
+    return nodes, medians(signed)
+
+
+def radius_quotient(points: DataFrame, radius: float, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``quotient_graph`` over the pairs of points at most ``radius`` apart, which are neither written nor shuffled."""
+    own = points.select("pid", "x", "y", "z").join(labels.where("label > 0").select("pid", "label"), "pid")
+    nodes = own.groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"))
+    own = persist_table(own.where(finite(("x", "y", "z"))), "labelled")
+    close = near_pairs(own, own, radius).where((F.col("a.label") < F.col("b.label")) & (F.sqrt("d2") <= radius))
+    return nodes, medians(close.select(F.col("a.label").alias("la"), F.col("b.label").alias("lb"), *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in "xyz"]))
+
+
+def medians(vectors: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """``la, lb, vx, vy, vz``: the exact median of each component. Sketches give two limits that the middle surely lies between (each is off by
+    one part in ``accuracy`` at most); only values between them are held and sorted."""
+    shares = F.array(*[F.lit(0.5 + k * 3 / accuracy) for k in (-1, 1)])
+    limits = vectors.groupBy("la", "lb").agg(*[F.percentile_approx(c, shares, F.lit(accuracy)).alias(f"t{c}") for c in "xyz"]).toDF("_a", "_b", "tx", "ty", "tz")
+    limits = persist_table(limits, "limits")
+    placed = vectors.join(limits, (F.col("la") == F.col("_a")) & (F.col("lb") == F.col("_b")))
+    aggs = []
+    for c in "xyz":
+        low, high = F.col(f"t{c}")[0], F.col(f"t{c}")[1]
+        aggs += [F.count(c).alias(f"n{c}"), F.sum((F.col(c) < low).cast("long")).alias(f"u{c}"), F.array_sort(F.collect_list(F.when((F.col(c) >= low) & (F.col(c) <= high), F.col(c)))).alias(f"m{c}")]
+    found = placed.groupBy("la", "lb").agg(*aggs)
+    at = lambda c, k: F.element_at(f"m{c}", (k - F.col(f"u{c}")).cast("int"))
+    mid = lambda c: 0.5 * at(c, F.floor((F.col(f"n{c}") + 1) / 2)) + 0.5 * at(c, F.floor((F.col(f"n{c}") + 2) / 2))
+    return found.select("la", "lb", *[mid(c).alias(f"v{c}") for c in "xyz"])
 
 
 def linear_path(ids: np.ndarray, coords: np.ndarray, edges: np.ndarray, root: int, turn: float = TURN_LIMIT) -> list[int]:
@@ -145,6 +173,48 @@ def linear_path(ids: np.ndarray, coords: np.ndarray, edges: np.ndarray, root: in
         path.append(best)
 
 
+def straightest(rows: np.ndarray, moves: np.ndarray, step: np.ndarray, least: float) -> int:
+    """The row whose move turns least, ties to the smaller; -1 if all turn too far."""
+    cosine = moves @ step / np.maximum(np.linalg.norm(moves, axis=1) * np.linalg.norm(step), 1e-300)
+    close = np.flatnonzero(cosine >= cosine.max() - 1e-9)
+    exact = [(-float(moves[i] @ step / max(np.linalg.norm(moves[i]) * np.linalg.norm(step), 1e-300)), int(rows[i]), i) for i in close.tolist()]
+    turn, _, i = min(exact)
+    return -1 if -turn < least else i
+
+
+def radius_linear_path(points: DataFrame, radius: float, root: int, turn: float = TURN_LIMIT) -> DataFrame:
+    """``longest_linear_path`` over the pairs of points at most ``radius`` apart: the path is sequential, so one task holds the points, but no
+    pairs; it looks for the neighbours of the path's last point only."""
+    if not radius > 0:
+        raise ValueError("the radius must be positive")
+    core = points.select("pid", "x", "y", "z").where(finite(("x", "y", "z")) | (F.col("pid") == root))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pid")
+        ids, xyz = frame["pid"].to_numpy(np.int64), frame[["x", "y", "z"]].to_numpy(float)
+        path = np.flatnonzero(ids == root).tolist()
+        if path and np.isfinite(xyz[path[0]]).all():
+            grid, open_, step = Grid(xyz, radius), np.ones(len(xyz), bool), None
+            while True:
+                open_[path[-1]] = False
+                choice = grid.neighbours(path[-1])
+                choice = choice[open_[choice]]
+                if not len(choice):
+                    break
+                moves = xyz[choice] - xyz[path[-1]]
+                if step is None:
+                    low = np.flatnonzero(xyz[choice, 2] == xyz[choice, 2].min()).tolist()
+                    best = min(low, key=lambda i: (np.linalg.norm(moves[i]), choice[i]))
+                elif (best := straightest(choice, moves, step, math.cos(math.radians(turn)) - 1e-12)) < 0:
+                    break
+                step = moves[best]
+                path.append(int(choice[best]))
+        steps = np.linalg.norm(np.diff(xyz[path], axis=0), axis=1)
+        return pd.DataFrame({"ord": range(len(path)), "pid": ids[path], "length": np.concatenate([[0.0], np.cumsum(steps)])[: len(path)]})
+
+    return core.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda f: solve(f), "ord long, pid long, length double")
+
+
 def longest_linear_path(points: DataFrame, edges: DataFrame, root: int) -> DataFrame:
     """``ord, pid, length``: the linear path from ``root`` and its length so far. Sequential, so one task holds the root's component."""
     own = label_components(points, edges)
@@ -164,4 +234,4 @@ def longest_linear_path(points: DataFrame, edges: DataFrame, root: int) -> DataF
     return rows.unionByName(arcs).groupBy("k").applyInPandas(solve, "ord long, pid long, length double")
 
 
-__all__ = ["both_ways", "dijkstra", "induced", "linear_path", "longest_linear_path", "proto_nodes", "quotient_graph", "ranked", "shortest_paths", "shortest_paths_from_point", "slice_labels", "union_find"]
+__all__ = ["both_ways", "dijkstra", "induced", "linear_path", "longest_linear_path", "medians", "proto_nodes", "quotient_graph", "radius_linear_path", "radius_quotient", "ranked", "shortest_paths", "shortest_paths_from_point", "slice_labels", "union_find"]

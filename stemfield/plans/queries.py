@@ -298,7 +298,7 @@ def _(s, d):
 @query("longest_linear_path")
 def _(s, d):
     p = emb(s, d)
-    return rounded(gr.longest_linear_path(p, nb.radius_edges(p, R), 0))
+    return rounded(gr.radius_linear_path(p, R, 0))
 
 
 @query("quotient_graph", f"WITH {EMB_SQL}, {EDGE_SQL}, v AS (SELECT least(a.label, b.label) AS la, greatest(a.label, b.label) AS lb, CASE WHEN a.label < b.label THEN 1 ELSE -1 END AS sg, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM edge JOIN emb a ON a.pid = src JOIN emb b ON b.pid = dst WHERE a.label <> b.label AND a.label > 0 AND b.label > 0) SELECT la, lb, {ro('median(sg * x) AS vx', 'median(sg * y) AS vy', 'median(sg * z) AS vz')} FROM v GROUP BY la, lb")

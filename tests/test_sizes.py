@@ -92,3 +92,23 @@ def test_subsampling_in_turns(spark, monkeypatch):
     monkeypatch.setattr(filters, "FIRST", 10_000)
     monkeypatch.setattr(filters, "radius_edges", lambda *a, **b: pytest.fail("edges were listed"))
     assert filters.distance_subsample(p, 0.1).count() == len(want) + 1
+
+
+def test_medians_and_paths_without_edges(spark):
+    """Equal to the ways over edges and to numpy; the path is that of ``linear_path``."""
+    xyz = clumps()
+    p = cloud(spark, xyz)
+    named = p.select("pid", (p.pid % 4).alias("label"))
+    edges = neighbours.radius_edges(p, 0.15)
+    rows = [(int(e.src), int(e.dst)) for e in edges.select("src", "dst").collect()]
+    want: dict = {}
+    for a, b in rows:
+        a, b = (a, b) if a % 4 < b % 4 else (b, a)
+        if a % 4 and a % 4 != b % 4:
+            want.setdefault((a % 4, b % 4), []).append(xyz[b] - xyz[a])
+    for got in (graph.radius_quotient(p, 0.15, named)[1], graph.quotient_graph(p, edges, named)[1]):
+        found = {(r.la, r.lb): (r.vx, r.vy, r.vz) for r in got.collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(np.median(want[k], axis=0), abs=1e-12) for k in want)
+    got = [r.pid for r in sorted(graph.radius_linear_path(p, 0.15, 0).collect())]
+    assert got == graph.linear_path(np.arange(len(xyz)), xyz, np.array(rows), 0) and len(got) > 2
+    assert [r.pid for r in graph.radius_linear_path(p, 0.01, 4).collect()] == [4] and graph.radius_linear_path(p, 0.1, -1).count() == 0
