@@ -304,13 +304,13 @@ def _(s, d):
 @query("quotient_graph", f"WITH {EMB_SQL}, {EDGE_SQL}, v AS (SELECT least(a.label, b.label) AS la, greatest(a.label, b.label) AS lb, CASE WHEN a.label < b.label THEN 1 ELSE -1 END AS sg, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM edge JOIN emb a ON a.pid = src JOIN emb b ON b.pid = dst WHERE a.label <> b.label AND a.label > 0 AND b.label > 0) SELECT la, lb, {ro('median(sg * x) AS vx', 'median(sg * y) AS vy', 'median(sg * z) AS vz')} FROM v GROUP BY la, lb")
 def _(s, d):
     p = emb(s, d)
-    return rounded(gr.quotient_graph(p, nb.radius_edges(p, R), p)[1])
+    return rounded(gr.radius_quotient(p, R, p)[1])
 
 
 @query("quotient_nodes", f"WITH {EMB_SQL} SELECT label, {ro('avg(x) AS x', 'avg(y) AS y', 'avg(z) AS z')}, count(*) AS n FROM emb WHERE label > 0 GROUP BY label")
 def _(s, d):
     p = emb(s, d)
-    return rounded(gr.quotient_graph(p, nb.radius_edges(p, R), p)[0])
+    return rounded(gr.radius_quotient(p, R, p)[0])
 
 
 @query("relabel_by_occurrence", "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT l_partkey, CASE WHEN n >= 20 THEN row_number() OVER (ORDER BY n DESC, l_partkey) ELSE 0 END AS label FROM c) SELECT l_orderkey, l_linenumber, l_partkey, label::INT AS label FROM lineitem JOIN r USING (l_partkey)")
