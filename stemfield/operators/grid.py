@@ -56,7 +56,9 @@ class Grid:
         own = self.key[points]
         order = np.argsort(own, kind="stable")
         points, own = points[order], own[order]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+        if not len(own):
+            return
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         for k, part in zip(own[first].tolist(), np.split(points, first[1:]), strict=True):
             yield k, part
 

@@ -1,6 +1,6 @@
 """Sequential kernels on one connected component: growing unbranched segments, and assembling them into trees. Plain numpy, run in grouped-map tasks.
 
-Graphs are lists of neighbour arrays over 0..n-1. Ties go to the smaller id.
+Graphs are over 0..n-1: lists of neighbour arrays, or a grid of points, which finds neighbours as they are asked for. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .grid import Grid
+
 
 def adjacency(n: int, src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
     ends, other = np.concatenate([src, dst]), np.concatenate([dst, src])
@@ -19,52 +21,47 @@ def adjacency(n: int, src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
 
 
 def radius_pairs(xyz: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``i < j`` at most ``radius`` apart, by cells."""
-    cell = np.floor(xyz / (radius * (1 + 1e-9))).astype(np.int64)
-    rows: dict[tuple, list[int]] = defaultdict(list)
-    for i, c in enumerate(map(tuple, cell.tolist())):
-        rows[c].append(i)
-    src, dst = [], []
-    for (a, b, c), own in rows.items():
-        near = np.array([j for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) for j in rows.get((a + x, b + y, c + z), ())])
-        own = np.array(own)
-        for part in np.array_split(own, max(1, len(own) * len(near) // 1_000_000)):
-            d2 = ((xyz[part][:, None] - xyz[near][None]) ** 2).sum(2)
-            i, j = np.nonzero((np.sqrt(d2) <= radius) & (part[:, None] < near[None]))
-            src.append(part[i])
-            dst.append(near[j])
-    return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, int), np.zeros(0, int))
-
-
-def parts_of(adj: list[np.ndarray], members: Iterable[int]) -> list[list[int]]:
+    """Pairs ``i < j`` at most ``radius`` apart, by cells. For small sets; ``Grid.pairs`` gives them in pieces."""
+    found = list(Grid(xyz, radius).pairs())
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def reach(adj: Grid | list[np.ndarray], front: Iterable[int], mask: np.ndarray) -> np.ndarray:
+    """Vertices of the mask next to the front, ascending."""
+    front = np.asarray(list(front) if not isinstance(front, np.ndarray) else front, np.int64)
+    if isinstance(adj, Grid):
+        return adj.reach(front, mask)
+    near = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(adj[v], np.int64) for v in front.tolist()]]))
+    return near[mask[near]]
+
+
+def parts_of(adj: Grid | list[np.ndarray], members: Iterable[int]) -> list[list[int]]:
     """Connected parts of a vertex set, largest first, then by smallest vertex; each sorted."""
-    left, out = set(members), []
-    for v in sorted(left):
-        if v in left:
-            left.discard(v)
-            part, at = [v], 0
-            while at < len(part):
-                for u in adj[part[at]].tolist():
-                    if u in left:
-                        left.discard(u)
-                        part.append(u)
-                at += 1
-            out.append(sorted(part))
+    left, out = np.zeros(len(adj), bool), []
+    members = sorted(set(members))
+    left[members] = True
+    for v in members:
+        if left[v]:
+            left[v] = False
+            layers = [front := np.array([v])]
+            while len(front := reach(adj, front, left)):
+                left[front] = False
+                layers.append(front)
+            out.append(np.sort(np.concatenate(layers)).tolist())
     return sorted(out, key=lambda p: (-len(p), p[0]))
 
 
-def hop_counts(adj: list[np.ndarray], inside: set[int], starts: Iterable[int]) -> dict[int, int]:
+def hop_counts(adj: Grid | list[np.ndarray], inside: set[int], starts: Iterable[int]) -> dict[int, int]:
     """Hops from the starts to the vertices of ``inside`` that can be reached within it."""
     found = {v: 0 for v in starts}
-    front = list(found)
-    while front:
-        nxt = []
-        for v in front:
-            for u in adj[v].tolist():
-                if u in inside and u not in found:
-                    found[u] = found[v] + 1
-                    nxt.append(u)
-        front = nxt
+    left = np.zeros(len(adj), bool)
+    left[list(inside)] = True
+    left[list(found)] = False
+    front, hops = np.array(list(found), np.int64), 0
+    while len(front := reach(adj, front, left)):
+        left[front] = False
+        hops += 1
+        found |= dict.fromkeys(front.tolist(), hops)
     return found
 
 
@@ -78,12 +75,14 @@ def principal(rows: np.ndarray) -> np.ndarray:
 class Segment:
     """One segment that grows in waves from its seeds."""
 
-    def __init__(self, adj: list[np.ndarray], free: np.ndarray, seeds: Iterable[int], hops: int, xyz: np.ndarray | None = None, angle: float = 80.0, least: int = 1):
+    def __init__(self, adj: Grid | list[np.ndarray], free: np.ndarray, seeds: Iterable[int], hops: int, xyz: np.ndarray | None = None, angle: float = 80.0, least: int = 1):
         self.adj, self.free, self.hops, self.xyz, self.angle, self.least = adj, free, hops, xyz, angle, least
         seeds = list(dict.fromkeys(seeds))
         if not all(free[s] for s in seeds):
             raise ValueError("a seed lies outside the mask")
         self.wave = {s: 1 for s in seeds}
+        self.open = free.copy()
+        self.open[seeds] = False
         self.touched = set(seeds)
         self.number = 1
         self.grow(seeds)
@@ -95,18 +94,21 @@ class Segment:
         own = self.members(wave)
         return self.xyz[own].mean(0) if own else None
 
+    def centroids(self) -> np.ndarray:
+        """Of the waves that have members, in order."""
+        own: dict[int, list[int]] = defaultdict(list)
+        for v, w in sorted(self.wave.items()):
+            own[w].append(v)
+        return np.array([self.xyz[own[w]].mean(0) for w in sorted(own) if w < self.number])
+
     def grow(self, front: list[int]) -> None:
         while front:
             ring, layer = [], front
             for _ in range(self.hops):
-                nxt = []
-                for v in layer:
-                    for u in self.adj[v].tolist():
-                        if self.free[u] and u not in self.touched:
-                            self.touched.add(u)
-                            nxt.append(u)
-                ring += nxt
-                layer = nxt
+                layer = reach(self.adj, layer, self.open)
+                self.open[layer] = False
+                ring += layer.tolist()
+            self.touched.update(ring)
             if not ring:
                 break
             parts = parts_of(self.adj, ring)
@@ -123,7 +125,7 @@ class Segment:
         if self.xyz is None or self.number <= 3:
             return fit[0]
         before = self.centroid(self.number - 1)
-        line = np.array([c for w in range(1, self.number) if (c := self.centroid(w)) is not None])
+        line = self.centroids()
         if before is None or len(line) < 3:
             return fit[0]
         axis = principal(line)
@@ -167,7 +169,7 @@ class Segment:
         return sorted(self.touched - self.wave.keys())
 
 
-def label_segments(adj: list[np.ndarray], xyz: np.ndarray, agh: np.ndarray, ceiling: float, hops: int = 2, angle: float = 80.0, ring_least: int = 3, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def label_segments(adj: Grid | list[np.ndarray], xyz: np.ndarray, agh: np.ndarray, ceiling: float, hops: int = 2, angle: float = 80.0, ring_least: int = 3, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Segment and wave number of each vertex (0: none). Seeds are first the parts near the ground, largest first; until one is accepted, then the
     vertices that any search so far left out at its rim, also one whose segment was too small, lowest first; where there are none, the lowest vertex that is free."""
     n = len(adj)
@@ -214,7 +216,29 @@ def assembly_rule(share: float, threshold: float, target: int, enabled: bool) ->
     return "B" if enabled and share >= threshold and target > 0 else "A"
 
 
+def contacts(pairs: Iterable[tuple[np.ndarray, np.ndarray]], nbs: np.ndarray, node: np.ndarray) -> tuple[dict[int, set[int]], Counter]:
+    """Nodes next to each node, and the number of point pairs between two branches (both ways), of pairs that come in pieces."""
+    links: dict[int, set[int]] = defaultdict(set)
+    between: Counter = Counter()
+    for src, dst in pairs:
+        m, o = node[src], node[dst]
+        for a, b in np.unique(np.column_stack([m, o])[(m > 0) & (o > 0) & (m != o)], axis=0).tolist():
+            links[a].add(b)
+            links[b].add(a)
+        m, o = nbs[src], nbs[dst]
+        found, n = np.unique(np.column_stack([m, o])[(m > 0) & (o > 0) & (m != o)], axis=0, return_counts=True)
+        for (a, b), k in zip(found.tolist(), n.tolist(), strict=True):
+            between[a, b] += k
+            between[b, a] += k
+    return links, between
+
+
 def assemble(src: np.ndarray, dst: np.ndarray, nbs: np.ndarray, node: np.ndarray, agh: np.ndarray, ceiling: float, threshold: float = 0.8, rule_b: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``assemble_pairs`` of whole arrays of pairs."""
+    return assemble_pairs([(src, dst)], nbs, node, agh, ceiling, threshold, rule_b)
+
+
+def assemble_pairs(pairs: Iterable[tuple[np.ndarray, np.ndarray]], nbs: np.ndarray, node: np.ndarray, agh: np.ndarray, ceiling: float, threshold: float = 0.8, rule_b: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Tree and branch of each point of one component. Branches near the ground found trees (else the largest branch, for the time being);
     round by round, the largest branches at the rim join the tree of most votes. Points of a component without ground have no tree."""
     n = len(nbs)
@@ -222,15 +246,7 @@ def assemble(src: np.ndarray, dst: np.ndarray, nbs: np.ndarray, node: np.ndarray
     if not size:
         return np.zeros(n, np.int64), nbs.copy()
     owner = {int(m): int(b) for m, b in zip(node, nbs, strict=True) if m > 0 and b > 0}
-    links: dict[int, set[int]] = defaultdict(set)
-    point_links: Counter = Counter()
-    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-        if node[a] > 0 and node[b] > 0 and node[a] != node[b]:
-            links[int(node[a])].add(int(node[b]))
-            links[int(node[b])].add(int(node[a]))
-        if nbs[a] > 0 and nbs[b] > 0 and nbs[a] != nbs[b]:
-            point_links[int(nbs[a]), int(nbs[b])] += 1
-            point_links[int(nbs[b]), int(nbs[a])] += 1
+    links, point_links = contacts(pairs, nbs, node)
     nodes_of: dict[int, list[int]] = defaultdict(list)
     for m, b in sorted(owner.items()):
         nodes_of[b].append(m)

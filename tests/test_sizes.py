@@ -112,3 +112,16 @@ def test_medians_and_paths_without_edges(spark):
     got = [r.pid for r in sorted(graph.radius_linear_path(p, 0.15, 0).collect())]
     assert got == graph.linear_path(np.arange(len(xyz)), xyz, np.array(rows), 0) and len(got) > 2
     assert [r.pid for r in graph.radius_linear_path(p, 0.01, 4).collect()] == [4] and graph.radius_linear_path(p, 0.1, -1).count() == 0
+
+
+def test_segments_and_trees_without_edges():
+    """A grid gives the segments that lists of neighbours give; pairs in pieces give the trees of all pairs at once; empty sets have no pairs."""
+    xyz = clumps()
+    src, dst = np.nonzero((np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)) <= 0.1) & (np.arange(len(xyz))[:, None] < np.arange(len(xyz))[None]))
+    adj, grid = growth.adjacency(len(xyz), src, dst), growth.Grid(xyz, 0.1)
+    agh = xyz[:, 2] + 0.5
+    want, got = (growth.label_segments(a, xyz, agh, 0.3) for a in (adj, grid))
+    assert want[0].max() > 1 and all((a == b).all() for a, b in zip(want, got, strict=True))
+    whole, pieces = growth.assemble(src, dst, *want, agh, 0.3), growth.assemble_pairs(grid.pairs(), *want, agh, 0.3)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    assert len(growth.radius_pairs(np.zeros((0, 3)), 1.0)[0]) == 0 and len(growth.radius_pairs(xyz, 0.1)[0]) == len(src)
