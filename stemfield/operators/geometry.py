@@ -143,7 +143,95 @@ def crop_by_ground_polygon(points: DataFrame, ground: DataFrame, buffer: float =
 
 def delaunay(xy: np.ndarray) -> np.ndarray:
     """Triangles (rows of positions in ``xy``, sorted) of the Delaunay triangulation, by inserting points and re-triangulating the
-    cavity of triangles whose circle holds the point."""
+    cavity of triangles whose circle holds the point. A walk over neighbouring triangles finds the cavity."""
+    xy = np.asarray(xy, float)
+    if len(xy) < 3 or not np.isfinite(xy).all():
+        raise ValueError("a triangulation needs at least 3 finite points")
+    _, keep = np.unique(xy, axis=0, return_index=True)
+    mid, span = xy.mean(0), max(np.ptp(xy[:, 0]), np.ptp(xy[:, 1]), 1e-12)
+    n = len(xy)
+    pts = np.concatenate([(xy - mid) / span, [[-1e4, -1e4], [1e4, -1e4], [0, 1e4]]])
+    at_x, at_y = pts[:, 0].tolist(), pts[:, 1].tolist()
+    corners, beside, rounds = [(n, n + 1, n + 2)], [[-1, -1, -1]], []  # counter-clockwise; beside[t][k]: across the side from corner k to the next
+
+    def circle(a, b, c):
+        ax, ay = at_x[a], at_y[a]
+        bx, by, cx, cy = at_x[b] - ax, at_y[b] - ay, at_x[c] - ax, at_y[c] - ay
+        d = 2 * (bx * cy - by * cx)
+        bb, cc = bx * bx + by * by, cx * cx + cy * cy
+        if d == 0:
+            return (math.inf, math.inf, math.nan)
+        ux, uy = (cy * bb - by * cc) / d, (bx * cc - cx * bb) / d
+        return (ax + ux, ay + uy, (ux * ux + uy * uy) * (1 - 1e-12))
+
+    rounds.append(circle(n, n + 1, n + 2))
+    last = 0
+    for i in keep.tolist():
+        px, py = at_x[i], at_y[i]
+        t, steps = last, 0
+        while True:
+            v, moved = corners[t], False
+            for k in range(3):
+                a, b = v[k], v[k - 2]
+                if (at_x[b] - at_x[a]) * (py - at_y[a]) - (at_y[b] - at_y[a]) * (px - at_x[a]) < 0 and beside[t][k] >= 0:
+                    t, moved = beside[t][k], True
+                    break
+            steps += 1
+            if not moved or steps > 10 * len(corners) + 10:
+                break
+        x, y, r = rounds[t]
+        if not (x - px) ** 2 + (y - py) ** 2 < r:
+            t = next((m for m in (*(u for u in beside[t] if u >= 0), *range(len(rounds))) if (rounds[m][0] - px) ** 2 + (rounds[m][1] - py) ** 2 < rounds[m][2]), -1)
+            if t < 0:
+                continue
+        bad, stack, rim = {t}, [t], []
+        while stack:
+            t = stack.pop()
+            for k in range(3):
+                u = beside[t][k]
+                if u in bad:
+                    continue
+                if u >= 0:
+                    x, y, r = rounds[u]
+                    if (x - px) ** 2 + (y - py) ** 2 < r:
+                        bad.add(u)
+                        stack.append(u)
+                        continue
+                rim.append((corners[t][k], corners[t][k - 2], u, t))
+        rim = [s for s in rim if s[2] not in bad]
+        if len(rim) != len(bad) + 2 or {a for a, *_ in rim} != {b for _, b, *_ in rim} or len({a for a, *_ in rim}) != len(rim):
+            return delaunay_scan(xy)  # by rounding, the cavity is no disc
+        starts, made = {}, []
+        gone = list(bad)
+        for a, b, u, t in rim:
+            if gone:
+                m = gone.pop()
+                corners[m], rounds[m] = (i, a, b), circle(i, a, b)
+                beside[m] = [-1, u, -1]
+            else:
+                m = len(corners)
+                corners.append((i, a, b))
+                rounds.append(circle(i, a, b))
+                beside.append([-1, u, -1])
+            made.append(m)
+            starts[a] = m
+        for (a, b, u, t), m in zip(rim, made, strict=True):
+            if u >= 0:
+                v = corners[u]
+                for k in range(3):
+                    if v[k] == b and v[k - 2] == a:
+                        beside[u][k] = m
+            o = starts[b]
+            beside[m][2], beside[o][0] = o, m  # across the side of b and i
+        last = m
+    tri = np.array(corners, np.int64)
+    p, q = pts[tri[:, 1]] - pts[tri[:, 0]], pts[tri[:, 2]] - pts[tri[:, 0]]
+    tri = tri[np.abs(p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]) > 1e-18]
+    return np.sort(tri[(tri < n).all(1)], 1)
+
+
+def delaunay_scan(xy: np.ndarray) -> np.ndarray:
+    """``delaunay`` by trying all triangles for every point; its time grows with the square of the points."""
     xy = np.asarray(xy, float)
     if len(xy) < 3 or not np.isfinite(xy).all():
         raise ValueError("a triangulation needs at least 3 finite points")

@@ -125,3 +125,15 @@ def test_segments_and_trees_without_edges():
     whole, pieces = growth.assemble(src, dst, *want, agh, 0.3), growth.assemble_pairs(grid.pairs(), *want, agh, 0.3)
     assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
     assert len(growth.radius_pairs(np.zeros((0, 3)), 1.0)[0]) == 0 and len(growth.radius_pairs(xyz, 0.1)[0]) == len(src)
+
+
+def test_triangulation_by_walks(monkeypatch):
+    """The triangles of the scan, also where circles hold more than three points; many points without a scan."""
+    r = np.random.default_rng(5)
+    turns = np.linspace(0, 6.2, 40)
+    grid = np.array([(i, j) for i in range(9) for j in range(7)], float)
+    sets = [r.normal(0, 1, (400, 2)), grid, np.round(r.normal(0, 1, (300, 2)), 1), np.column_stack([np.cos(turns), np.sin(turns)]), r.normal(0, 1, (3, 2)), np.array([[i, 2 * i] for i in range(9)], float)]
+    want = [geometry.delaunay_scan(p).tolist() for p in sets]
+    monkeypatch.setattr(geometry, "delaunay_scan", lambda _: pytest.fail("all triangles were tried"))
+    assert [sorted(geometry.delaunay(p).tolist()) for p in sets] == [sorted(w) for w in want]
+    assert len(geometry.delaunay(r.normal(0, 1, (6000, 2)))) > 11_900
